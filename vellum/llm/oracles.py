@@ -31,5 +31,43 @@ def op10_secrets() -> str:
     WHERE score >= {secrets.THRESHOLD} * length(token) GROUP BY ALL"""
 
 
+def op6_lm_scores() -> str:
+    from . import ngrams
+
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS.format('text')}, []) AS words FROM documents),
+    t AS (SELECT rid, k, words[k] AS w, CASE WHEN k > 1 THEN words[k - 1] END AS v FROM d, unnest(generate_series(1, len(words))) AS g(k)),
+    u AS (SELECT w, count(*) AS c FROM t GROUP BY w), b AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+    own_u AS (SELECT rid, w, count(*) AS c FROM t GROUP BY rid, w), own_b AS (SELECT rid, v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY rid, v, w),
+    j AS (SELECT t.rid, coalesce(b.c - own_b.c, 0) AS pairs, u.c - own_u.c AS singles, ctx.c AS context
+          FROM t JOIN u ON u.w = t.w JOIN own_u ON own_u.rid = t.rid AND own_u.w = t.w LEFT JOIN u ctx ON ctx.w = t.v
+          LEFT JOIN b ON b.v = t.v AND b.w = t.w LEFT JOIN own_b ON own_b.rid = t.rid AND own_b.v = t.v AND own_b.w = t.w),
+    s AS (SELECT rid, sum(CASE WHEN pairs > 0 THEN ln(pairs) - ln(context) ELSE ln({ngrams.ALPHA}) + ln(greatest(singles, 0.5)) - ln((SELECT count(*) FROM t)) END) AS total,
+          count(*) FILTER (WHERE pairs <= 0) AS n_backoff FROM j GROUP BY rid)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(total / len(words), 6) AS score
+    FROM d LEFT JOIN s USING (rid) WHERE doc_id IS NOT NULL"""
+
+
+def op9_repeated_spans() -> str:
+    from . import spans
+
+    return f"""
+    WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    p AS (SELECT doc_id, text, g.k, pieces[g.k] AS piece, {_WORDS.format('pieces[g.k]')} AS words
+          FROM (SELECT *, regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]+|[^.!?\\n]+') AS pieces FROM d), unnest(generate_series(1, len(pieces))) AS g(k)),
+    o AS (SELECT *, sum(CASE WHEN len(words) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, text ORDER BY k) AS s FROM p),
+    n AS (SELECT doc_id, text, s, string_agg(piece, '' ORDER BY k) AS sentence, max(CASE WHEN len(words) > 0 THEN array_to_string(words, ' ') END) AS words, max(len(words)) AS n FROM o GROUP BY ALL),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, text ORDER BY s) AS upto FROM n WHERE s > 0),
+    l AS (SELECT doc_id, text, list(words ORDER BY s) AS words, list(upto ORDER BY s) AS upto FROM c GROUP BY ALL),
+    r AS (SELECT doc_id, text, g.k AS s, words, greatest(g.k + {spans.SENTENCES - 1}, len(list_filter(upto, lambda x: x < coalesce(upto[g.k - 1], 0) + {spans.WORDS})) + 1) AS stop
+          FROM l, unnest(generate_series(1, len(words))) AS g(k)),
+    v AS (SELECT doc_id, text, s, stop, array_to_string(words[s:stop], ' ') AS span FROM r WHERE stop <= len(words)),
+    f AS (SELECT *, rank() OVER (PARTITION BY span ORDER BY doc_id, s) AS place FROM v),
+    gone AS (SELECT DISTINCT doc_id, text, unnest(generate_series(s, stop)) AS s FROM f WHERE place > 1)
+    SELECT n.doc_id, count(*) FILTER (WHERE s > 0) AS n_sentences, count(*) FILTER (WHERE gone.s IS NOT NULL) AS n_removed,
+           coalesce(string_agg(sentence, '' ORDER BY s) FILTER (WHERE gone.s IS NULL), '') AS text
+    FROM n LEFT JOIN gone USING (doc_id, text, s) GROUP BY n.doc_id, n.text HAVING count(*) FILTER (WHERE gone.s IS NOT NULL) > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": op1_decontaminate(), "op10_secrets": op10_secrets()}
+    return {f.__name__: f() for f in (op1_decontaminate, op6_lm_scores, op9_repeated_spans, op10_secrets)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets, simhash
+from . import decontaminate, ngrams, secrets, sentencepiece, simhash, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,13 +19,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text that they decode to."""
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), decoded=True)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(table(spark, sf_dir, "documents"))
+
+
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents from which a sentence is removed."""
+    return spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")).where("n_removed > 0")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_near_duplicates, op10_secrets)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op4_near_duplicates, op6_lm_scores, op9_repeated_spans, op10_secrets)}

@@ -254,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, group_id, kept), one for each distinct doc_id: group_id is the smallest doc_id of the group."""
+    """Rows (doc_id, group_id, kept), one for each distinct doc_id in a group of two or more; group_id is the smallest of it."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -268,9 +268,8 @@ def groups(docs: DataFrame) -> DataFrame:
     prints = written(same.select(F.col("first").alias("id"), "h1", "h2"), "distinct")
     copies = have.join(prints.withColumnRenamed("id", "first"), ["h1", "h2"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     root = components(near_edges(prints, prints.count()).unionByName(copies))
-    every = signed.select("id").distinct().join(root, "id", "left")
-    group = F.coalesce("root", "id")
-    return every.select(F.col("id").alias("doc_id"), group.alias("group_id"), (group == F.col("id")).alias("kept"))
+    members = root.unionByName(root.select(F.col("root").alias("id"), "root").distinct())
+    return members.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
