@@ -69,5 +69,41 @@ def op9_repeated_spans() -> str:
     FROM n LEFT JOIN gone USING (doc_id, text, s) GROUP BY n.doc_id, n.text HAVING count(*) FILTER (WHERE gone.s IS NOT NULL) > 0"""
 
 
+def op5_url_filters() -> str:
+    from . import urls
+
+    host, path = urls._HOST.replace("'", "''"), urls._PATH.replace("'", "''")
+
+    def key(column: str, rule: bool) -> str:
+        h = f"regexp_replace(lower(regexp_extract({column}, '{host}', 1)), '\\.+$', '')"
+        labels = f"array_to_string(list_reverse(string_split({h}, '.')), ',') || ','"
+        rest = f"regexp_extract({column}, '{path}', 1)"
+        return f"CASE WHEN {h} <> '' THEN {labels} || " + (rest if rule else f"CASE WHEN {rest} LIKE '/%' THEN {rest} ELSE '/' || {rest} END") + " END"
+
+    rules = ", ".join(f"({n}, '{act}', '{prefix}')" for n, act, prefix in urls.RULES)
+    return f"""
+    WITH r AS (SELECT min(id) AS id, arg_min(act, id) AS act, key FROM (SELECT id, act, {key('prefix', True)} AS key FROM (VALUES {rules}) v(id, act, prefix)) GROUP BY key),
+    p AS (SELECT row_number() OVER () AS rid, page_id, {key('url', False)} AS key FROM pages),
+    m AS (SELECT rid, count(*) AS n, arg_max(r.id, length(r.key)) AS id, arg_max(r.act, length(r.key)) AS act FROM p JOIN r ON starts_with(p.key, r.key) GROUP BY rid)
+    SELECT page_id, key, CAST(m.id AS BIGINT) AS rule_id, coalesce(m.act, 'allow') AS action, CAST(coalesce(m.n, 0) AS INTEGER) AS n_rules FROM p LEFT JOIN m USING (rid)"""
+
+
+def op7_licenses() -> str:
+    from . import licenses
+
+    rows = ", ".join(f"('{name}', '{' '.join(licenses.normal(text))}')" for name, text in sorted(set(licenses.TEMPLATES)))
+    t = licenses.THRESHOLD
+    return f"""
+    WITH v(license, words) AS (VALUES {rows}), t AS (SELECT license, words, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1])) AS grams FROM (SELECT *, string_split(words, ' ') AS w FROM v)),
+    s AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split_regex(text, '\n\n+'), string_split(text, chr(10)), string_split_regex(text, '[.!?] |\n'))) AS part FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    w AS (SELECT DISTINCT doc_id, array_to_string({_WORDS.format('part')}, ' ') AS words FROM s),
+    n AS (SELECT words, string_split(words, ' ') AS w FROM (SELECT DISTINCT words FROM w)),
+    u AS (SELECT words, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1])) AS grams FROM n WHERE len(w) > 1 AND len(list_intersect(w, (SELECT list(DISTINCT x) FROM (SELECT unnest(string_split(words, ' ')) AS x FROM v)))) > 1),
+    d AS (SELECT u.words, license, 2 * len(list_intersect(u.grams, t.grams)) / (len(u.grams) + len(t.grams)) AS dice FROM u JOIN t ON len(u.grams) BETWEEN {t / (2 - t)} * len(t.grams) - 1e-9 AND {(2 - t) / t} * len(t.grams) + 1e-9),
+    b AS (SELECT words, max(dice) AS best FROM d WHERE dice >= {t} - 1e-12 GROUP BY words),
+    f AS (SELECT words, best, min(license) AS license FROM b JOIN d USING (words) WHERE dice = best GROUP BY ALL)
+    SELECT doc_id, license, round(max(best), 6) AS dice, count(DISTINCT words) AS n_passages FROM w JOIN f USING (words) GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_decontaminate, op6_lm_scores, op9_repeated_spans, op10_secrets)}
+    return {f.__name__: f() for f in (op1_decontaminate, op5_url_filters, op6_lm_scores, op7_licenses, op9_repeated_spans, op10_secrets)}
