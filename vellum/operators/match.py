@@ -61,6 +61,10 @@ def scan(docs: DataFrame, leaves: list[Leaf], weights: dict[str, float]) -> Data
     return docs.withColumns(columns)
 
 
+def _shifted(by: int) -> Column:
+    return F.transform("positions", lambda p: p - by)
+
+
 def from_postings(docs: DataFrame, postings: DataFrame, leaves: list[Leaf], weights: dict[str, float]) -> DataFrame:
     """The documents with a hit of any leaf."""
     found = []
@@ -74,7 +78,7 @@ def from_postings(docs: DataFrame, postings: DataFrame, leaves: list[Leaf], weig
             part = rows.where(F.col("token").startswith(token) if last else F.col("token") == token).select("doc_id", "field", F.col("positions"))
             if last:  # several tokens may have the prefix
                 part = part.groupBy("doc_id", "field").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-            parts.append(part.select("doc_id", "field", F.transform("positions", lambda p, k=k: p - k).alias(f"p{k}")))
+            parts.append(part.select("doc_id", "field", _shifted(k).alias(f"p{k}")))
         joined = reduce(lambda a, b: a.join(b, ["doc_id", "field"]), parts)
         at = reduce(F.array_intersect, (F.col(f"p{k}") for k in range(len(parts)))) if len(parts) > 1 else F.col("p0")
         weight = reduce(lambda c, f: c.when(F.col("field") == f, F.lit(weights[f])), weights, F)
