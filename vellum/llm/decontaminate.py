@@ -185,4 +185,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents into which no item leaks, with all their columns. Rows with a null doc_id stay."""
     bad = written(leaks(docs, benchmark, span).select(F.col("doc_id").alias("_leaky")).distinct(), "leaks")
-    return docs.join(small_side(bad, bad.count()), docs["doc_id"] == F.col("_leaky"), "left_anti")
+    return docs.join(small_side(bad, bad.count()), docs["doc_id"] == bad["_leaky"], "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import IS_WORD, buffer, per_doc, run_hashes, runs, sliced, small_side, text_of, words, written
+from ._arrow import IS_WORD, buffer, per_doc, run_hashes, runs, sliced, small_side, text_of, unused, words, written
 
 STATS = ["symbols", "capitals", "stutter", "word_length", "word_spread", "repeats"]
 D = len(STATS)
@@ -135,12 +135,12 @@ def _models(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, _MODEL)
 
 
-def distance(stats: str = "stats") -> Column:
+def distance(stats: str = "stats", centre: str = "centre", inverse: str = "inverse") -> Column:
     """Squared Mahalanobis distance, of six places; inverse holds the upper triangle with doubled off-diagonal terms."""
-    x = [F.col(stats)[i] * F.lit(UNIT) - F.col("centre")[i] for i in range(D)]
+    x = [F.col(stats)[i] * F.lit(UNIT) - F.col(centre)[i] for i in range(D)]
     total = F.lit(0.0)
     for k, (i, j) in enumerate(_PAIRS):
-        total = total + F.col("inverse")[k] * x[i] * x[j]
+        total = total + F.col(inverse)[k] * x[i] * x[j]
     return F.round(total, 6)
 
 
@@ -203,7 +203,7 @@ def verdicts(docs: DataFrame, share: float = SHARE, cutoff: float = CUTOFF, leas
 def kept(docs: DataFrame, share: float = SHARE, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
     """The documents that are not rejected, with all their columns. Statistics are computed again rather than texts shuffled."""
     _, fitted = _fitted(docs, share, least)
-    models = fitted.select(F.col("cell").alias("_cell"), "centre", "inverse")
-    signed = _signed(docs).withColumn("_here", _key("lang", "source"))
-    judged = signed.join(small_side(models, models.count()), F.col("_here") == F.col("_cell"), "left").withColumn("_d2", distance("_stats"))
-    return judged.where(F.coalesce(F.col("_d2") <= cutoff, F.lit(True))).select(*docs.columns)
+    stats, cell, centre, inverse = (unused(n, docs.columns) for n in ("_stats", "_cell", "_centre", "_inverse"))
+    models = fitted.select(F.col("cell").alias(cell), F.col("centre").alias(centre), F.col("inverse").alias(inverse))
+    judged = _signed(docs, stats).join(small_side(models, models.count()), _key("lang", "source") == F.col(cell), "left")
+    return judged.where(F.coalesce(distance(stats, centre, inverse) <= cutoff, F.lit(True))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -79,7 +79,8 @@ def _rows(width: int, radius: int) -> int:
 
 def arrange(bits: np.ndarray, m: int) -> list[list[int]]:
     """m parts of about equal size; each next bit joins the part with whose bits it correlates most."""
-    c = np.abs(np.nan_to_num(np.corrcoef(bits.T.astype(np.float32)))) if len(bits) > 1 else np.zeros((BITS, BITS))
+    with np.errstate(invalid="ignore"):  # bits that never change correlate with none
+        c = np.abs(np.nan_to_num(np.corrcoef(bits.T.astype(np.float32)))) if len(bits) > 1 else np.zeros((BITS, BITS))
     np.fill_diagonal(c, 0)
     left, out = set(range(BITS)), []
     for k in range(m):
@@ -275,4 +276,4 @@ def groups(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each group, with all their columns."""
     gone = written(groups(docs).where("not kept").select(F.col("doc_id").alias("_copy")), "copies")
-    return docs.join(small_side(gone, gone.count()), docs["doc_id"] == F.col("_copy"), "left_anti")
+    return docs.join(small_side(gone, gone.count()), docs["doc_id"] == gone["_copy"], "left_anti")

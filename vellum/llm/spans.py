@@ -7,7 +7,7 @@ hash of the text, place) stays; every sentence that another one covers is remove
 
 Defined results: null and empty texts have no spans; a document with fewer sentences or words than a span needs has none;
 rows with a null doc_id give no spans and stay as they are; rows that share doc_id and text are one document and are
-cleaned alike; other columns are returned as they are; n_chars, where there is such a column, follows the text.
+cleaned alike; other columns are returned as they are, but those named n_sentences or n_removed are replaced; n_chars, where there is such a column, follows the text.
 """
 
 from __future__ import annotations
@@ -107,8 +107,9 @@ def _cut(raw: np.ndarray, offsets: np.ndarray, plain: tuple[np.ndarray, np.ndarr
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents without repeated sentences, and the columns n_sentences and n_removed."""
+    docs = docs.drop("n_sentences", "n_removed")
     found = repeats(docs).select(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_text"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, (docs["doc_id"] == F.col("_span_id")) & (F.xxhash64(docs["text"]) == F.col("_span_text")), "left").select(*(docs[c] for c in docs.columns), "_spans")
+    joined = docs.join(found, (docs["doc_id"] == found["_span_id"]) & (F.xxhash64(docs["text"]) == found["_span_text"]), "left").select(*(docs[f"`{c}`"] for c in docs.columns), found["_spans"])
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
