@@ -54,9 +54,9 @@ def _text(text: str, given: dict = DOCUMENTS, where: Filter | None = None, **cha
 
 
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same result by way of postings."""
-    ix = index(spark, sf_dir, DOCUMENTS)
-    return matches(Index(ix.definition, ix.docs, postings_frame(ix.docs, ["text"])), '"mit license" idiot', None)
+    """A phrase or a term by way of postings."""
+    ix = index(spark, sf_dir, DOCUMENTS, strategy="any")
+    return matches(Index(ix.definition, ix.docs, postings_frame(ix.docs, ["text"])), '"mit license" idiot')
 
 
 def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
