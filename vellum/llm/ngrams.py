@@ -4,10 +4,11 @@ For a word w behind v in document D, with c the corpus counts and c' those witho
 S(w|v) = c'(vw) / c(v) where c'(vw) > 0, else ALPHA * max(c'(w), 1/2) / N; the first word of a document has no v and
 takes the second form. The score is the mean of ln S over the document's words, rounded to six places.
 
-The counts are tables partitioned by hash: bigrams and words by the hash of their last word. Documents are exploded to
-bigrams, each of which is sent to the partition that holds its counts, joined there, and sent on to the partition of v for
-c(v); sums go back by block of documents. What is sent is packed: one row holds all the bigrams that a block of documents sends
-to one partition, as sorted hashes and document numbers, so a bigram costs about ten bytes instead of a row.
+The counts are tables partitioned by hash: bigrams and words by the hash of their first word. Documents are exploded to
+bigrams, each of which is sent to the partition that holds its counts and joined there; those that back off, which become fewer as the corpus
+grows, are sent on to the partition of w for c(w). Sums go back by block of documents. What is sent is packed: one row holds all that a block of
+documents sends to a part of a partition, as sorted hashes and document numbers, so a bigram costs about ten bytes instead of a row. Numbers of
+words in their own document are taken along, as a document is whole when it is exploded.
 
 Defined results: texts without words, empty and null ones have no words, n_words 0 and a null score; every row is a document of its own, so repeated
 rows count in each other's c'; rows with a null doc_id count in the corpus but are not reported; other columns are ignored.
@@ -23,27 +24,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import buffer, mix, parts, ranges, run_hashes, sliced, text_of, words, written
+from ._arrow import buffer, mix, parts, run_hashes, sliced, text_of, words, written
 
 ALPHA = 0.4
 #: Words of a block of documents.
 BLOCK_WORDS = 1_000_000
 _SALT = np.uint64(0x51ED270B35A1D1E5)
-_ROW = "part int, kind byte, block long, docs int, a binary, b binary, c binary, d binary"
-_NAMES = ["part", "kind", "block", "docs", "a", "b", "c", "d"]
-_TYPES = [pa.int32(), pa.int8(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-_GRAMS, _WORDS, _HITS, _SUMS, _IDS = range(5)
+#: Parts of a partition that are counted one after the other, so that memory follows a part.
+SUBS = 6
+_ROW = "part int, sub int, kind byte, block long, docs int, a binary, b binary, c binary, d binary, e binary"
+_NAMES = ["part", "sub", "kind", "block", "docs", "a", "b", "c", "d", "e"]
+_TYPES = [pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+_GRAMS, _WORDS, _MISSES, _SUMS, _IDS = range(5)
+#: In place of the second word, which is an odd hash: nothing follows; this is the first word itself.
+_END, _FIRST = np.uint64(0), np.uint64(2)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], _NAMES)
 
 
-def _some(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _some(rows: Iterator[tuple], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(x) for x in row[4:] if x is not None) + 64
+        size += sum(len(x) for x in row[5:] if x is not None) + 64
         if size > most:
             yield _batch(held)
             held, size = [], 0
@@ -70,33 +75,47 @@ def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.concatenate([starts, [n]]))
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each, or four after a mark."""
+    return x.astype(np.uint16).tobytes() if not len(x) or x.max() < 65536 else b"w" + x.astype(np.uint32).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return (np.frombuffer(data, np.uint32, offset=1) if len(data) % 2 else np.frombuffer(data, np.uint16)).astype(np.int64)
+
+
 def _explode(n_parts: int):
-    """Blocks of documents to rows of bigrams, one for each partition of the tables."""
+    """Blocks of documents to rows of bigrams, one for each part of the tables."""
 
     def send(block: int, hashes: list[np.ndarray], counts: list[np.ndarray], ids: list[pa.Array]) -> Iterator[tuple]:
-        w = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        v = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         count = np.concatenate(counts)
         docs = len(count)
-        doc = np.repeat(np.arange(docs, dtype=np.uint32), count)
-        v = np.zeros(len(w), np.uint64)  # 0: none
-        v[1:] = w[:-1]
-        first = np.cumsum(count) - count
-        v[first[count > 0]] = 0
-        part = _route(w, n_parts)
-        order = np.lexsort((v, w, part))
-        part, w, v, doc = part[order], w[order], v[order], doc[order]
-        bound = np.searchsorted(part, np.arange(n_parts + 1))
-        for p in range(n_parts):
-            low, high = bound[p], bound[p + 1]
-            if low < high:
-                pw, pv = w[low:high], v[low:high]
-                start, _ = _groups(pw, pv)
-                uw, uv = pw[start], pv[start]
-                word, _ = _groups(uw)
-                yield p, _GRAMS, block, docs, np.concatenate([[np.uint64(len(word))], uw[word], uv]).astype(np.uint64).tobytes(), _sizes(word, len(uw)).astype(np.uint32).tobytes(), _sizes(start, high - low).astype(np.uint16 if high - low < 65536 else np.uint32).tobytes(), doc[low:high].astype(np.uint16 if docs < 65536 else np.uint32).tobytes()
+        doc = np.repeat(np.arange(docs, dtype=np.int64), count)
+        # how often each word stands in its document
+        order = np.lexsort((v, doc))
+        start, group = _groups(doc[order], v[order])
+        own = np.empty(len(v), np.int64)
+        own[order] = _sizes(start, len(v))[group]
+        last = np.cumsum(count)[count > 0] - 1
+        first = (np.cumsum(count) - count)[count > 0]
+        w, own_w = np.empty_like(v), np.empty_like(own)
+        w[:-1], own_w[:-1] = v[1:], own[1:]
+        w[last], own_w[last] = _END, 0
+        v, w, doc, own = (np.concatenate([x, y]) for x, y in ((v, v[first]), (w, np.full(len(first), _FIRST)), (doc, doc[first]), (own_w, own[first])))
+        del order, group, own_w
+        part = _route(v, n_parts * SUBS)
+        order = np.lexsort((w, v, part))
+        part, v, w, doc, own = part[order], v[order], w[order], doc[order], own[order]
+        cut, _ = _groups(part)
+        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
+            start, _ = _groups(v[low:high], w[low:high])
+            uv, uw = v[low:high][start], w[low:high][start]
+            word, _ = _groups(uv)
+            yield int(part[low]) // SUBS, int(part[low]) % SUBS, _GRAMS, block, docs, np.concatenate([[np.uint64(len(word))], uv[word], uw]).astype(np.uint64).tobytes(), _narrow(_sizes(word, len(uv))), _narrow(_sizes(start, high - low)), _narrow(doc[low:high]), _narrow(own[low:high])
         valid = np.concatenate([x.is_valid().to_numpy(zero_copy_only=False) for x in ids])
         number = np.concatenate([x.fill_null(0).to_numpy(zero_copy_only=False) for x in ids])
-        yield int(block % n_parts), _IDS, block, docs, number.astype(np.int64).tobytes(), valid.astype(np.uint8).tobytes(), count.astype(np.int64).tobytes(), None
+        yield int(block % n_parts), 0, _IDS, block, docs, number.astype(np.int64).tobytes(), valid.astype(np.uint8).tobytes(), count.astype(np.int64).tobytes(), None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -121,12 +140,12 @@ def _explode(n_parts: int):
     return run
 
 
-def _by_part(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """The rows of each value of a sorted key."""
+def _by(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+    """The rows of each value of sorted keys."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[-1][key] != row[key]:
+            if held and any(held[-1][k] != row[k] for k in keys):
                 yield held
                 held = []
             held.append(row)
@@ -134,115 +153,149 @@ def _by_part(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
         yield held
 
 
-def _count(n_parts: int):
-    """Joins the bigrams of a partition with its counts; sends what has a count without its document on to v's partition."""
+class _Sums:
+    """Sums by block and document, of those documents that have any."""
 
-    def work(p: int, rows: list[dict]) -> Iterator[tuple]:
-        grams = []
-        for r in rows:
-            if r["kind"] == _IDS:
-                yield p, _IDS, r["block"], r["docs"], r["a"], r["b"], r["c"], None
-            else:
-                grams.append(r)
-        if not grams:
-            return
-        w, v, doc, base, at = [], [], [], [], 0
-        for r in grams:
-            data = np.frombuffer(r["a"], np.uint64)
-            n = int(data[0])
-            uw, uv = np.repeat(data[1 : n + 1], np.frombuffer(r["b"], np.uint32)), data[n + 1 :]
-            d = np.frombuffer(r["d"], np.uint16 if r["docs"] < 65536 else np.uint32).astype(np.int64)
-            times = np.frombuffer(r["c"], np.uint16 if len(d) < 65536 else np.uint32)
-            w.append(np.repeat(uw, times))
-            v.append(np.repeat(uv, times))
-            doc.append(d + at)
-            base.append(at)
-            at += r["docs"]
-        w, v, doc = map(np.concatenate, (w, v, doc))
-        order = np.lexsort((doc, v, w))
-        w, v, doc = w[order], v[order], doc[order]
-        word, of_word = _groups(w)
-        gram, of_gram = _groups(w, v)
-        own, of_own = _groups(w, v, doc)
-        n_word, n_gram, n_own = _sizes(word, len(w)), _sizes(gram, len(w)), _sizes(own, len(w))
-        with np.errstate(over="ignore"):
-            key = of_word * np.int64(at) + doc
-        _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-        rest = n_word[of_word] - times[back]
-        left = np.where(v == 0, 0, n_gram[of_gram] - n_own[of_own])
-        hit = left > 0
-        value = np.where(hit, np.log(np.maximum(left, 1)), np.log(ALPHA) + np.log(np.maximum(rest, 0.5)))
-        total = np.bincount(doc, value, at)
-        backed = np.bincount(doc, ~hit, at).astype(np.int32)
-        yield p, _WORDS, 0, 0, w[word].tobytes(), n_word.astype(np.int64).tobytes(), None, None
-        for r, b in zip(grams, base):
-            yield p, _SUMS, r["block"], r["docs"], total[b : b + r["docs"]].tobytes(), backed[b : b + r["docs"]].tobytes(), None, None
-        v, doc = v[hit], doc[hit]
-        block = np.searchsorted(np.array(base), doc, "right") - 1
-        part = _route(v, n_parts)
-        order = np.lexsort((v, block, part))
-        v, doc, block, part = v[order], doc[order], block[order], part[order]
-        cut, _ = _groups(part, block)
-        for low, high in zip(cut, np.concatenate([cut[1:], [len(v)]])):
-            r = grams[block[low]]
-            start, _ = _groups(v[low:high])
-            local = doc[low:high] - base[block[low]]
-            yield int(part[low]), _HITS, r["block"], r["docs"], v[low:high][start].tobytes(), _sizes(start, high - low).astype(np.uint32).tobytes(), local.astype(np.uint16 if r["docs"] < 65536 else np.uint32).tobytes(), None
+    def __init__(self) -> None:
+        self.base: dict[int, int] = {}
+        self.docs: dict[int, int] = {}
+        self.next = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _some(row for rows in _by_part(batches, "part") for row in work(rows[0]["part"], rows))
+    def place(self, block: int, docs: int) -> int:
+        if block not in self.base:
+            self.base[block], self.docs[block] = self.next, docs
+            self.next += docs
+        return self.base[block]
 
-    return run
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(list(self.base), np.int64), np.array(list(self.base.values()), np.int64)
+
+    def add(self, doc: np.ndarray, value: np.ndarray, backed: np.ndarray) -> None:
+        some, at = np.unique(doc, return_inverse=True)
+        self.parts.append((some, np.bincount(at, value, len(some)), np.bincount(at, backed, len(some)).astype(np.int64)))
 
+    def rows(self, part: int) -> Iterator[tuple]:
+        if not self.parts:
+            return
+        doc, value, backed = map(np.concatenate, zip(*self.parts))
+        some, at = np.unique(doc, return_inverse=True)
+        value, backed = np.bincount(at, value, len(some)), np.bincount(at, backed, len(some)).astype(np.int64)
+        number, base = self.blocks()
+        cut = np.searchsorted(some, [*base, self.next])
+        for k, block in enumerate(number.tolist()):
+            here = slice(cut[k], cut[k + 1])
+            if cut[k] < cut[k + 1]:
+                yield part, 0, _SUMS, block, self.docs[block], _narrow(some[here] - base[k]), value[here].tobytes(), _narrow(backed[here]), None, None
+
+
+def _count(n_parts: int):
+    """Joins the bigrams of each part with its counts; sends those that back off on to the partition of their second word."""
 
-def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes ln c(v) off for the bigrams whose first word this partition counts."""
+    def work(rows: list[dict], sums: _Sums, misses: list[tuple]) -> Iterator[tuple]:
+        v, w, doc, own = [], [], [], []
+        for r in rows:
+            if r["kind"] == _IDS:
+                yield r["part"], 0, _IDS, r["block"], r["docs"], r["a"], r["b"], r["c"], None, None
+                continue
+            data = np.frombuffer(r["a"], np.uint64)
+            n, times = int(data[0]), _wide(r["c"])
+            v.append(np.repeat(np.repeat(data[1 : n + 1], _wide(r["b"])), times))
+            w.append(np.repeat(data[n + 1 :], times))
+            doc.append(_wide(r["d"]) + sums.place(r["block"], r["docs"]))
+            own.append(_wide(r["e"]))
+        if not v:
+            return
+        part = rows[0]["part"]
+        rows.clear()
+        v, w, doc, own = map(np.concatenate, (v, w, doc, own))
+        order = np.lexsort((doc, w, v))
+        v, w, doc, own = v[order], w[order], doc[order], own[order]
+        del order
+        word, of_word = _groups(v)
+        number = np.bincount(of_word, w != _FIRST, len(word)).astype(np.int64)
+        yield part, 0, _WORDS, 0, 0, v[word].tobytes(), number.tobytes(), None, None, None
+        gram, of_gram = _groups(v, w)
+        each, of_each = _groups(v, w, doc)
+        left = _sizes(gram, len(v))[of_gram] - _sizes(each, len(v))[of_each]
+        follows = (w & np.uint64(1)) > 0
+        hit, first, miss = follows & (left > 0), w == _FIRST, follows & (left <= 0)
+        context = number[of_word]
+        value = np.where(hit, np.log(np.maximum(left, 1)) - np.log(np.maximum(context, 1)), np.log(ALPHA) + np.log(np.maximum(context - own, 0.5)))
+        known = hit | first
+        sums.add(doc[known], value[known], first[known])
+        misses.append((w[miss], doc[miss], own[miss]))
+
+    def sent(part: int, sums: _Sums, misses: list[tuple]) -> Iterator[tuple]:
+        yield from sums.rows(part)
+        if not misses:
+            return
+        w, doc, own = map(np.concatenate, zip(*misses))
+        number, base = sums.blocks()
+        to = _route(w, n_parts * SUBS) // SUBS
+        order = np.lexsort((doc, w, to))
+        to, w, doc, own = to[order], w[order], doc[order], own[order]
+        block = np.searchsorted(base, doc, "right") - 1
+        cut, _ = _groups(to)
+        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(to)]):
+            start, _ = _groups(w[low:high])
+            used, at = np.unique(block[low:high], return_inverse=True)
+            local = np.stack([at, doc[low:high] - base[block[low:high]]])
+            sizes = np.array([sums.docs[b] for b in number[used].tolist()], np.int64)
+            yield int(to[low]), 0, _MISSES, 0, len(used), w[low:high][start].tobytes(), _narrow(_sizes(start, high - low)), number[used].tobytes() + sizes.tobytes(), _narrow(local.ravel()), _narrow(own[low:high])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        part, sums, misses = None, _Sums(), []
+        for some in _by(batches, "part", "sub"):
+            if some[0]["part"] != part:
+                if part is not None:
+                    yield from sent(part, sums, misses)
+                part, sums, misses = some[0]["part"], _Sums(), []
+            yield from work(some, sums, misses)
+        if part is not None:
+            yield from sent(part, sums, misses)
+
+    return lambda batches: _some(rows(batches))
+
+
+def _back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds what the words that this partition counts are worth by themselves."""
 
     def work(rows: list[dict]) -> Iterator[tuple]:
-        p = rows[0]["part"]
+        part, sums = rows[0]["part"], _Sums()
         table = [r for r in rows if r["kind"] == _WORDS]
         key = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in table] or [np.zeros(0, np.uint64)])
-        count = np.concatenate([np.frombuffer(r["b"], np.int64) for r in table] or [np.zeros(0, np.int64)])
-        sums: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-        tokens = int(count.sum())
-
-        def of(r: dict) -> tuple[int, np.ndarray, np.ndarray]:
-            if r["block"] not in sums:
-                sums[r["block"]] = (r["docs"], np.zeros(r["docs"]), np.zeros(r["docs"], np.int32))
-            return sums[r["block"]]
-
+        number = np.concatenate([np.frombuffer(r["b"], np.int64) for r in table] or [np.zeros(0, np.int64)])
+        order = np.argsort(key)
+        key, number = key[order], number[order]
         for r in rows:
             if r["kind"] == _IDS:
-                yield p, _IDS, r["block"], r["docs"], r["a"], r["b"], r["c"], None
+                yield part, 0, _IDS, r["block"], r["docs"], r["a"], r["b"], r["c"], None, None
             elif r["kind"] == _SUMS:
-                of(r)[1][:] += np.frombuffer(r["a"], np.float64)
-                of(r)[2][:] += np.frombuffer(r["b"], np.int32)
-            elif r["kind"] == _HITS:
-                v = np.frombuffer(r["a"], np.uint64)
-                minus = np.repeat(-np.log(count[np.searchsorted(key, v)]), np.frombuffer(r["b"], np.uint32))
-                doc = np.frombuffer(r["c"], np.uint16 if r["docs"] < 65536 else np.uint32)
-                of(r)[1][:] += np.bincount(doc, minus, r["docs"])
-        for block, (docs, total, backed) in sums.items():
-            yield p, _SUMS, block, docs, total.tobytes(), backed.tobytes(), None, None
-        yield p, _WORDS, tokens, 0, None, None, None, None  # the block's place holds the number of words
+                sums.parts.append((_wide(r["a"]) + sums.place(r["block"], r["docs"]), np.frombuffer(r["b"], np.float64), _wide(r["c"])))
+            elif r["kind"] == _MISSES:
+                known = np.frombuffer(r["c"], np.int64)
+                base = np.array([sums.place(b, n) for b, n in zip(known[: r["docs"]].tolist(), known[r["docs"] :].tolist())], np.int64)
+                count = np.repeat(number[np.searchsorted(key, np.frombuffer(r["a"], np.uint64))], _wide(r["b"]))
+                at, local = _wide(r["d"]).reshape(2, -1)
+                sums.add(base[at] + local, np.log(ALPHA) + np.log(np.maximum(count - _wide(r["e"]), 0.5)), np.ones(len(at)))
+        rows.clear()
+        yield from sums.rows(part)
 
-    return _some(row for rows in _by_part(batches, "part") for row in work(rows))
+    return _some(row for rows in _by(batches, "part") for row in work(rows))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of a block to rows of documents."""
-    for rows in _by_part(batches, "block"):
-        known = [r for r in rows if r["kind"] == _IDS]
-        if not known:
-            continue
-        ids, valid, count = (np.frombuffer(known[0][k], t) for k, t in (("a", np.int64), ("b", np.uint8), ("c", np.int64)))
+    for rows in _by(batches, "block"):
+        known = next(r for r in rows if r["kind"] == _IDS)
+        ids, valid, count = (np.frombuffer(known[k], t) for k, t in (("a", np.int64), ("b", np.uint8), ("c", np.int64)))
         total, backed = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         for r in rows:
-            if r["kind"] == _SUMS:
-                total += np.frombuffer(r["a"], np.float64)
-                backed += np.frombuffer(r["b"], np.int32)
-        on = valid > 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (ids, count, backed, total)], ["doc_id", "n_words", "n_backoff", "total"])
+            if r["kind"] == _SUMS:  # a document once in each
+                total[_wide(r["a"])] += np.frombuffer(r["b"], np.float64)
+                backed[_wide(r["a"])] += _wide(r["c"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), *map(pa.array, (count, backed, total))], ["doc_id", "n_words", "n_backoff", "total"])
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -252,13 +305,12 @@ def scores(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("text"))
 
     def by_part(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "part").sortWithinPartitions("part")
-
-    sent = source.mapInArrow(_explode(n), _ROW)
-    counted = by_part(sent).mapInArrow(_count(n), _ROW)
-    # a written table: its two readers below must not repeat the work, and a lost executor must not either
-    summed = written(by_part(counted).mapInArrow(_context, _ROW), "scores")
-    tokens = summed.where(f"kind = {_WORDS}").agg(F.coalesce(F.sum("block"), F.lit(0)).alias("n")).first()["n"]
-    gathered = summed.where(f"kind <> {_WORDS}").repartition(n, "block").sortWithinPartitions("block").mapInArrow(_gather, "doc_id long, n_words long, n_backoff long, total double")
+        return df.repartition(n, "part").sortWithinPartitions("part", "sub")
+
+    counted = by_part(source.mapInArrow(_explode(n), _ROW)).mapInArrow(_count(n), _ROW)
+    summed = by_part(counted).mapInArrow(_back_off, _ROW)
+    # a small table: its two readers below must not repeat the work, and a lost executor must not either
+    rows = written(summed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_gather, "doc_id long, n_words long, n_backoff long, total double"), "scores")
+    tokens = rows.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     mean = (F.col("total") - F.col("n_backoff") * F.lit(float(np.log(max(tokens, 1))))) / F.col("n_words")
-    return gathered.select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(mean, 6)).alias("score"))
+    return rows.where("doc_id is not null").select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(mean, 6)).alias("score"))
