@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from ._arrow import buffer, ranges, run_hashes, sliced, strings
 
 MODEL = os.environ.get("VELLUM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: Text bytes that are encoded at once.
+SLICE_BYTES = 1 << 20
 #: Distinct words that a Python worker keeps encoded.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 MARK = "▁"
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -125,7 +127,7 @@ class Model:
     def _pair(self, p: int, t: int) -> bool:
         """Whether the merges of piece p followed by piece t end with t; p is 0 where t has nothing to merge with before it."""
         before, after = self.pieces[p] if p else "", self.pieces[t]
-        if len(self._pairs) > 2_000_000:
+        if len(self._pairs) > 500_000:
             self._pairs.clear()
         ok = self._pairs[p << 24 | t] = self.merged(before + after) == ([before, after] if p else [after])
         return ok
@@ -195,12 +197,19 @@ class Cache:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and where their ids are found
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.base, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.base, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def add(self, keys: list[int], found: list[list[int]]) -> None:
-        n, at, total = len(self.index), self.used, sum(map(len, found))
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the hashes, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slot[at], np.int32(-1))
+
+    def add(self, keys: np.ndarray, found: list[list[int]]) -> None:
+        n, at, total = len(self.keys), self.used, sum(map(len, found))
         while len(self.flat) < at + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.base) < n + len(keys):
@@ -210,7 +219,9 @@ class Cache:
         self.length[n : n + len(keys)] = length
         self.base[n : n + len(keys)] = at + np.cumsum(length) - length
         self.used = at + total
-        self.index.update(zip(keys, range(n, n + len(keys))))
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.slot = every[order], np.concatenate([self.slot, np.arange(n, n + len(keys), dtype=np.int32)])[order]
 
 
 _MODELS: dict[str, tuple[Model, Cache]] = {}
@@ -255,17 +266,18 @@ def encode_buffer(raw: np.ndarray, offsets: np.ndarray, valid: np.ndarray, path:
         return np.zeros(0, np.int32), np.zeros(docs, np.int64)
     h = run_hashes(marked, begin, end)
     keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    numbers = keys.tolist()
-    missing = [k for k, key in enumerate(numbers) if key not in cache.index]
-    if len(cache.index) + len(missing) > CACHE_WORDS:
+    slots = cache.find(keys)
+    missing = np.flatnonzero(slots < 0)
+    if len(cache.keys) + len(missing) > CACHE_WORDS:
         cache.clear()
-        missing = list(range(len(numbers)))
-    if missing:
+        missing = np.arange(len(keys))
+    if len(missing):
         data = marked.tobytes()
-        todo = sorted((data[begin[f] : end[f]].decode(), numbers[k]) for k, f in zip(missing, first[missing].tolist()))
-        cache.add([key for _, key in todo], model.encode_words([w for w, _ in todo]))
-    index = np.fromiter(map(cache.index.__getitem__, numbers), np.int64, len(numbers))[inverse]
-    per_word = cache.length[index]
+        todo = sorted((data[begin[f] : end[f]].decode(), k) for k, f in zip(missing.tolist(), first[missing].tolist()))
+        cache.add(keys[[k for _, k in todo]], model.encode_words([w for w, _ in todo]))
+        slots = cache.find(keys)
+    index = slots[inverse]
+    per_word = cache.length[index].astype(np.int64)
     ids = cache.flat[ranges(cache.base[index], per_word)]
     owner = np.searchsorted(starts_at, begin, "right") - 1
     return ids, np.bincount(owner, per_word, docs).astype(np.int64)
@@ -312,7 +324,7 @@ def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFr
     """Rows (doc_id, n_pieces, ids), and with `decoded` the text that the ids decode to."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE_BYTES):
             raw, offsets = buffer(batch.column(1))
             null = ~batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             ids, counts = encode_buffer(raw, offsets, ~null, model)
