@@ -239,6 +239,15 @@ def test_repeated_spans(spark, rng):
     assert got[4]["n_removed"] >= 5 and got[0]["n_removed"] == 0
 
 
+def test_repeated_single_sentences(spark, rng):
+    """A long sentence between edited ones, and a text of one sentence, are spans too; a short sentence is not."""
+    long, short = (" ".join(f"w{k}x{n}" for k in range(n)) + "." for n in (60, 19))
+    texts = [f"One begins. {long} One ends.", f"Two begins. {long} Two ends.", long, f"Three begins. {short}", f"Four begins. {short}"]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in spans.cleaned(table(spark, texts)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("Two begins. Two ends.", 1), 2: ("", 1), 3: (texts[3], 0), 4: (texts[4], 0)}
+    assert spans.cleaned(table(spark, texts), alone=None).where("n_removed > 0").count() == 0
+
+
 def test_secrets(spark, rng):
     first, step = secrets.model()
     key = "sk_9fQ2xLr7TzVb31KdMm8pWc5Y"

@@ -50,7 +50,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents from which a sentence is removed."""
+    """The documents from which a sentence is removed, by spans of SENTENCES sentences alone: the rule of its SQL."""
+    return spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=None).where("n_removed > 0")
+
+
+def op9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents from which a sentence is removed, by all spans."""
     return spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")).where("n_removed > 0")
 
 
@@ -59,4 +64,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_html_text, op4_near_duplicates, op5_url_filters, op6_lm_scores, op7_licenses, op8_quality, op9_repeated_spans, op10_secrets)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_html_text, op4_near_duplicates, op5_url_filters, op6_lm_scores, op7_licenses, op8_quality, op9_repeated_spans, op9_cleaned, op10_secrets)}

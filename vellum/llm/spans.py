@@ -1,10 +1,12 @@
 """Substring dedup over sliding spans of sentences.
 
 A sentence ends behind a run of `.`, `!`, `?` or line breaks; pieces without a word belong to the sentence before them. From
-each sentence starts one span: the shortest run of at least SENTENCES consecutive sentences with at least WORDS words.
-Spans are compared by a 64-bit hash of their lower-case words. Of equal spans in the whole corpus the first by (doc_id,
+each sentence starts one span: the shortest run of at least SENTENCES consecutive sentences with at least WORDS words. A sentence of
+at least `alone` words is a span by itself too (ALONE, or None for no such spans). Spans are compared by a 64-bit hash of their lower-case words. Of equal spans in the whole corpus the first by (doc_id,
 hash of the text, place) stays; every sentence that another one covers is removed.
 
+Not found: passages that repeat only a part of a sentence, so of a text without `.!?` or line breaks only the whole.
+
 Defined results: null and empty texts have no spans; a document with fewer sentences or words than a span needs has none;
 rows with a null doc_id give no spans and stay as they are; rows that share doc_id and text are one document and are
 cleaned alike; other columns are returned as they are, but those named n_sentences or n_removed are replaced; n_chars, where there is such a column, follows the text.
@@ -23,6 +25,7 @@ from ._arrow import buffer, mix, powers, run_hashes, sliced, strings, text_of, w
 
 SENTENCES = 2
 WORDS = 10
+ALONE = 20
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
 
@@ -44,7 +47,7 @@ def sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, doc[first] if len(first) else first, np.concatenate([first, [len(begin)]]), (begin, end)
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(raw: np.ndarray, offsets: np.ndarray, alone: int | None = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, documents, places of the first sentence in its document, and numbers of sentences, of all spans."""
     starts, doc, first, (begin, end) = sentences(raw, offsets)
     n = len(starts)
@@ -54,22 +57,26 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     base = np.searchsorted(doc, doc)
     stop = np.searchsorted(doc, doc, "right")
     ok = np.flatnonzero(last <= stop)
+    last = last[ok]
+    if alone is not None:
+        one = np.flatnonzero(np.diff(first) >= alone)
+        ok, last = np.concatenate([ok, one]), np.concatenate([last, one + 1])
     h = run_hashes(raw, begin, end)
     with np.errstate(over="ignore"):
         forward, inverse = powers(len(h) + 1)
         total = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * forward[: len(h)], out=total[1:])
-        a, b = first[ok], first[last[ok]]
+        a, b = first[ok], first[last]
         value = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-    return value, doc[ok], ok - base[ok], last[ok] - ok
+    return value, doc[ok], ok - base[ok], last - ok
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, alone: int | None = ALONE) -> DataFrame:
     """Rows (doc_id, text_hash, spans): the non-first repeated spans of each document as (place, sentences)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            value, doc, place, size = spans(*buffer(batch.column(2)))
+            value, doc, place, size = spans(*buffer(batch.column(2)), alone)
             ids, texts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(texts[doc], pa.int64()), pa.array(place, pa.int32()), pa.array(size, pa.int32())], ["span", "doc_id", "text_hash", "place", "size"])
 
@@ -105,10 +112,10 @@ def _cut(raw: np.ndarray, offsets: np.ndarray, plain: tuple[np.ndarray, np.ndarr
     return raw[keep], np.diff(kept[offsets]), np.bincount(doc, minlength=docs), np.bincount(doc[gone], minlength=docs)
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, alone: int | None = ALONE) -> DataFrame:
     """The documents without repeated sentences, and the columns n_sentences and n_removed."""
     docs = docs.drop("n_sentences", "n_removed")
-    found = repeats(docs).select(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_text"), F.col("spans").alias("_spans"))
+    found = repeats(docs, alone).select(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_text"), F.col("spans").alias("_spans"))
     joined = docs.join(found, (docs["doc_id"] == found["_span_id"]) & (F.xxhash64(docs["text"]) == found["_span_text"]), "left").select(*(docs[f"`{c}`"] for c in docs.columns), found["_spans"])
     at = docs.columns.index("text")
 
