@@ -200,6 +200,18 @@ def test_quality(spark, rng):
     assert quality.verdicts(df, least=241).where("d2 is not null or rejected").count() == 0
 
 
+def test_quality_of_a_skewed_source(spark):
+    """A source of which 40 % is low quality."""
+    where = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{where}/documents.parquet").where("lang = 'en'").join(labels, "doc_id")
+    bad = docs.where("quality = 0").orderBy("doc_id").limit(200)
+    mixed = docs.where("quality = 1").orderBy("doc_id").limit(300).unionByName(bad).withColumn("source", F.lit("skewed"))
+    got = {r["doc_id"]: r["rejected"] for r in quality.verdicts(mixed).collect()}
+    low = {r["doc_id"] for r in bad.collect()}
+    assert sum(got[d] for d in low) >= 190 and sum(got[d] for d in got if d not in low) <= 3
+
+
 def test_labelled_quality(spark):
     """Held-out accuracy: the labels take no part in the estimate."""
     where = "/root/testdata/sf0.01"

@@ -8,7 +8,8 @@ The estimate takes concentration steps over all documents, not over a sample: fr
 taken, the nearest SHARE of the documents give the next mean and covariance, and so on until no group changes. A step is one
 aggregation: sums of values and products by group and distance bin, from which a window takes the bins up to the wanted share. Values
 are whole UNITs, so sums are exact and results do not depend on the order of rows. Bins are 1/16 of a doubling of the distance wide; the subset ends with
-the bin that reaches SHARE. Covariances get FLOOR squared on their diagonal, since statistics may be the same in most documents.
+the bin that reaches SHARE, a half, so that estimates hold while less than half of a group is low quality. Covariances get FLOOR squared on their
+diagonal, since statistics may be the same in most documents.
 
 Groups with fewer than LEAST documents are pooled by language, what is then still too small is pooled altogether, and if that
 is too small it is not tested.
@@ -32,7 +33,7 @@ from ._arrow import IS_WORD, buffer, per_doc, run_hashes, runs, sliced, small_si
 STATS = ["symbols", "capitals", "stutter", "word_length", "word_spread", "repeats"]
 D = len(STATS)
 UNIT = 1 / 256
-SHARE = 0.75
+SHARE = 0.5
 LEAST = 200
 FLOOR = 0.25
 CUTOFF = 140.0
