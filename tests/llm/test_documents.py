@@ -156,6 +156,21 @@ def test_licenses(spark, rng):
     assert rows(licenses.licenses(table(spark, texts))) == sorted(((*k, *v) for k, v in want.items()), key=repr) and len(want) > 25
 
 
+def test_wrapped_licenses(spark, rng):
+    """Notices over several lines, with any line ends and comment marks, and within a paragraph."""
+    texts, want = [], []
+    for name in ("MIT", "GPL-3.0", "Apache-2.0"):
+        notice = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+        lines = [" ".join(x) for x in itertools.batched(notice.split(" "), 9)]
+        before, after = prose(rng, 40), prose(rng, 40)
+        texts += [end.join([before, "", *lines, "", after]) for end in ("\n", "\r\n", "\r")]
+        texts += ["\n".join(f"{mark} {x}".rstrip() for x in [before, "", *lines, "", after]) for mark in (" *", "#", "//")]
+        texts += ["\n".join([before, "  ", *lines, "\t", after]), before + " " + "\n".join(lines).rstrip(":.") + ".\n" + after]
+        want += [name] * 8
+    got = {r["doc_id"]: (r["license"], r["dice"]) for r in licenses.licenses(table(spark, texts)).collect()}
+    assert got == {d: (name, 1.0) for d, name in enumerate(want)}
+
+
 def _brute_quality(vectors, groups):
     d2 = np.full(len(vectors), np.nan)
     for g in set(groups) - {None}:

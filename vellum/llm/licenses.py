@@ -1,7 +1,9 @@
 """Licence scans: passages of a text against licence templates by the Dice coefficient of their word bigrams.
 
 Passages are compared at three grains: paragraphs (parted by empty lines), lines, and sentences (parted by a `.`, `!` or `?`
-with a blank behind it, or by a line break). Normalised, a passage is its lower-case words. For the sets A and B of bigrams
+with a blank behind it, or by a line break). So that notices wrapped over several lines are whole with any line ends and comment marks, there are
+two grains more: paragraphs parted by lines without a word (lines then end at LF, CRLF or CR), and the sentences of these across line
+breaks. A passage of these two counts unless one that it shares words with gives the same licence with a coefficient as high. Normalised, a passage is its lower-case words. For the sets A and B of bigrams
 of a passage and a template, Dice is 2|A and B| / (|A| + |B|). A passage belongs to the licence of the template
 with the highest coefficient, if that is THRESHOLD or more; of equal ones to the first by name.
 
@@ -11,7 +13,7 @@ whole slice; the few that are left get their sets, and of the templates only tho
 
 Defined results: null and empty texts, and passages of fewer than two words, hold no licence; rows with a null doc_id are not reported;
 rows that share a doc_id count as one document; a passage that is repeated in a document, or is the same at several grains,
-counts once; other columns are ignored.
+counts once; other columns are ignored. Not found: a short wrapped notice that stands in one sentence with as many other words, such as a title line right before it.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import buffer, mix, run_hashes, sliced, text_of, words
+from ._arrow import IS_WORD, buffer, mix, run_hashes, sliced, text_of, words
 
 THRESHOLD = 0.75
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\r\n")] = True
 
 #: (licence, normalised template). Notices by which works are put under a licence, and the paragraphs that name its grant.
 TEMPLATES = [
@@ -101,19 +105,31 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.concatenate([offsets, x])) for x in (empty, breaks, np.concatenate([breaks, sentence]))]
 
 
+def wrapped(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The same for the two grains whose passages run across line breaks."""
+    line = (raw == 10) | (raw == 13) & (np.append(raw[1:], 0) != 10)
+    starts = np.unique(np.concatenate([offsets, np.flatnonzero(line) + 1]))
+    upto = np.concatenate([[0], np.cumsum(IS_WORD[raw])])
+    paragraph = np.unique(np.concatenate([offsets, starts[:-1][upto[starts[1:]] == upto[starts[:-1]]]]))
+    stop = (raw == 46) | (raw == 33) | (raw == 63)
+    return [paragraph, np.unique(np.concatenate([paragraph, np.flatnonzero(stop[:-1] & _SPACE[raw[1:]]) + 1]))]
+
+
 def find(raw: np.ndarray, offsets: np.ndarray, rows: tuple[tuple[str, str], ...], least: float) -> list[tuple[int, str, float, bytes]]:
     """(document, licence, Dice, passage) of a buffer of lower-case texts."""
     names, sets, every = _templates(rows)
     begin, end, doc, pair = _hashes(raw, offsets)
-    out: list[tuple[int, str, float, bytes]] = []
     if len(begin) < 2 or not names:
-        return out
+        return []
     smallest = min(map(len, sets))
     # bigrams that some template has, up to each word
     known = np.minimum(np.searchsorted(every, pair), len(every) - 1)
     some = np.concatenate([[0], np.cumsum(every[known] == pair)])
     seen: set[tuple[int, int, int]] = set()
-    for cuts in passages(raw, offsets):
+    held: list[tuple[int, int, int, str, float]] = []
+    across: list[tuple[int, int, int, str, float]] = []
+    plain = passages(raw, offsets)
+    for grain, cuts in enumerate([*plain, *wrapped(raw, offsets)]):
         first = np.searchsorted(begin, cuts)
         low, high = first[:-1], first[1:] - 1  # bigrams of words low..high
         on = high - low >= np.ceil(least / (2 - least) * smallest - 1e-9)
@@ -134,8 +150,16 @@ def find(raw: np.ndarray, offsets: np.ndarray, rows: tuple[tuple[str, str], ...]
                 if dice >= least - 1e-12 and (best is None or dice > best[0] or dice == best[0] and name < best[1]):
                     best = dice, name
             if best:
-                out.append((d, best[1], best[0], b" ".join(raw[begin[k] : end[k]].tobytes() for k in range(a, b + 1))))
-    return out
+                (held if grain < len(plain) else across).append((d, a, b, best[1], best[0]))
+    places: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
+    for d, a, b, name, dice in held:
+        places.setdefault((d, name), []).append((a, b, dice))
+    for d, a, b, name, dice in sorted(across, key=lambda x: (-x[4], x[:4])):
+        near = places.setdefault((d, name), [])
+        if not any(x <= b and a <= y and other >= dice for x, y, other in near):
+            near.append((a, b, dice))
+            held.append((d, a, b, name, dice))
+    return [(d, name, dice, b" ".join(raw[begin[k] : end[k]].tobytes() for k in range(a, b + 1))) for d, a, b, name, dice in held]
 
 
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
