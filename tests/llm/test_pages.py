@@ -22,6 +22,17 @@ def test_main_text():
     assert html.extract("plain text")[0] == "plain text" and html.extract("a < b &lt; c")[0] == "a < b < c"
 
 
+@pytest.mark.parametrize("tag", ["<svg width='1'/>", "<svg>", "<select><option>", "<template>", "<textarea>", "<noscript>", "<iframe src='x'>"])
+def test_unclosed_elements(tag):
+    assert html.extract(f"<body>{tag}<p>{LONG}</p></body>")[0] == LONG.strip()
+
+
+@pytest.mark.parametrize("rest", ["<body><p>%s</p>", "<p>%s</p>", "<body><p>%s</p><script>'</head>'</script>"])
+def test_unclosed_head(rest):
+    head = "<html><head><meta charset='x'><title>No <p></title><script>'<body><p>'</script><style>p{}</style><!-- <p> --><link href='y'>\n"
+    assert html.extract(head + rest % LONG)[0] == LONG.strip()
+
+
 class Reader(HTMLParser):
     """Lines by a parser of another kind."""
 

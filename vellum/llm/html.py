@@ -8,7 +8,8 @@ which windows rise from nothing to more than SURGE before they are empty again;
 the window is empty. The text between is kept. Where no window is longer than SURGE, the longest stretch between empty windows is kept.
 
 Defined results: null and empty pages, and pages without text, give an empty text and 0 blocks; each row is extracted, repeated
-ones and ones with a null page_id too; unclosed scripts and comments reach to the end; other columns are ignored.
+ones and ones with a null page_id too; unclosed scripts, styles and comments reach to the end, an unclosed head to the first text or tag that cannot stand in it, and of other
+unclosed elements only the tag goes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from ._arrow import sliced
 
 WINDOW = 3
 SURGE = 130
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|select|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
+_RAW = r"<!--.*?(?:-->|\Z)|<(?:script\b[^>]*>.*?(?:</script\s*>|\Z)|style\b[^>]*>.*?(?:</style\s*>|\Z)|svg\b[^>]*/>)|<(?P<{0}>noscript|template|svg|select|iframe|textarea|title)\b[^>]*>.*?</(?P={0})\s*>"
+# a head ends at its tag, if that comes before <body>, else at what cannot stand in a head
+_HEAD = rf"<head\b[^>]*>(?:(?>{_RAW.format('a')}|(?!</head\b|<body\b).)*+</head\s*>|(?>{_RAW.format('b')}|\s+|<(?:meta|link|base)\b[^>]*>|<[!?][^>]*>)*+)"
+_DROP = re.compile(rf"{_HEAD}|{_RAW.format('c').replace('|title', '')}|<[!?][^>]*>", re.I | re.S)
 _SECTION = re.compile(r"</?(?:nav|header|footer|aside|article|main|section|form|menu|dialog|body|html)\b[^>]*>", re.I)
 _BLOCK = re.compile(r"\s*</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|td|th|table|thead|tbody|tfoot|caption|blockquote|pre|figure|figcaption|address|fieldset|legend|details|summary|option|title)\b[^>]*>(?:\s*</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|td|th|table|thead|tbody|tfoot|caption|blockquote|pre|figure|figcaption|address|fieldset|legend|details|summary|option|title)\b[^>]*>)*\s*", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
