@@ -275,6 +275,17 @@ def test_repeated_single_sentences(spark, rng):
     assert spans.cleaned(table(spark, texts), alone=None).where("n_removed > 0").count() == 0
 
 
+def test_cleaned_query_returns_every_document(spark):
+    from vellum.llm import queries
+
+    where = "/root/testdata/sf0.001"
+    got = queries.op9_cleaned(spark, where)
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    assert got.columns == ["doc_id", "text", "n_sentences", "n_removed"] and got.count() == docs.count()
+    same = got.where("n_removed = 0").select("doc_id", "text")
+    assert 0 < same.count() < docs.count() and same.exceptAll(docs.select("doc_id", "text")).isEmpty()
+
+
 def test_secrets(spark, rng):
     first, step = secrets.model()
     key = "sk_9fQ2xLr7TzVb31KdMm8pWc5Y"
