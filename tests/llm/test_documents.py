@@ -133,9 +133,12 @@ def test_lm_scores(spark, rng):
             backed += left <= 0
             s += math.log(left / uni[d[j - 1]]) if left > 0 else math.log(ngrams.ALPHA * max(uni[w] - own[w], 0.5) / total)
         want[k] = (len(d), backed, s / len(d) if d else None)
-    got = {r["doc_id"]: r for r in ngrams.scores(table(spark, texts).repartition(3)).collect()}
-    for k, (n, backed, mean) in want.items():
-        assert (got[k]["n_words"], got[k]["n_backoff"]) == (n, backed) and (mean is None) == (got[k]["score"] is None) and (mean is None or abs(mean - got[k]["score"]) < 2e-6)
+    # with tables for all words and bigrams, for some, and for none
+    for sizes in ((ngrams.WORDS, ngrams.GRAMS), (40, 10), (0, 0)):
+        got = {r["doc_id"]: r for r in ngrams.scores(table(spark, texts).repartition(3), *sizes).collect()}
+        assert len(got) == len(texts)
+        for k, (n, backed, mean) in want.items():
+            assert (got[k]["n_words"], got[k]["n_backoff"]) == (n, backed) and (mean is None) == (got[k]["score"] is None) and (mean is None or abs(mean - got[k]["score"]) < 2e-6)
 
 
 def test_licenses(spark, rng):

@@ -2,13 +2,16 @@
 
 For a word w behind v in document D, with c the corpus counts and c' those without D's own:
 S(w|v) = c'(vw) / c(v) where c'(vw) > 0, else ALPHA * max(c'(w), 1/2) / N; the first word of a document has no v and
-takes the second form. The score is the mean of ln S over the document's words, rounded to six places.
+takes the second form. The score is the mean of ln S over the document's words, rounded to six places. The order is 2.
 
-The counts are tables partitioned by hash: bigrams and words by the hash of their first word. Documents are exploded to
-bigrams, each of which is sent to the partition that holds its counts and joined there; those that back off, which become fewer as the corpus
-grows, are sent on to the partition of w for c(w). Sums go back by block of documents. What is sent is packed: one row holds all that a block of
-documents sends to a part of a partition, as sorted hashes and document numbers, so a bigram costs about ten bytes instead of a row. Numbers of
-words in their own document are taken along, as a document is whole when it is exploded.
+The scores are computed relationally. Documents are exploded to rows (v, w, document, times in it); a table partitioned by the hash of
+(v, w) holds each bigram's rows beside its count, so that counting and joining take one shuffle; the word counts are joined to what is left to divide by
+or to back off to; values are summed by document. Sorts, joins and sums are Spark's own and spill.
+
+Nothing is hot in that shuffle. Words are counted first, by partial sums, and the WORDS most frequent ones get short codes and are broadcast with
+their counts. So are the GRAMS most frequent bigrams, with exact counts from a pass of their own: a document's share of them is scored where it is
+exploded, and only rarer bigrams are sent. A bigram that stands more than SEEN - 1 times in a block of BLOCK words is a candidate for that table, so what is
+left out of candidates stands at most (SEEN - 1) / BLOCK of all places, however skewed the corpus is. Both bounds only steer the plan; scores are the same without.
 
 Defined results: texts without words, empty and null ones have no words, n_words 0 and a null score; every row is a document of its own, so repeated
 rows count in each other's c'; rows with a null doc_id count in the corpus but are not reported; other columns are ignored.
@@ -21,296 +24,217 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import buffer, mix, parts, run_hashes, sliced, text_of, words, written
+from ._arrow import buffer, mix, run_hashes, sliced, text_of, words, written
 
 ALPHA = 0.4
-#: Words of a block of documents.
-BLOCK_WORDS = 1_000_000
-_SALT = np.uint64(0x51ED270B35A1D1E5)
-#: Parts of a partition that are counted one after the other, so that memory follows a part.
-SUBS = 6
-_ROW = "part int, sub int, kind byte, block long, docs int, a binary, b binary, c binary, d binary, e binary"
-_NAMES = ["part", "sub", "kind", "block", "docs", "a", "b", "c", "d", "e"]
-_TYPES = [pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-_GRAMS, _WORDS, _MISSES, _SUMS, _IDS = range(5)
-#: In place of the second word, which is an odd hash: nothing follows; this is the first word itself.
-_END, _FIRST = np.uint64(0), np.uint64(2)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], _NAMES)
+#: Words of a block of documents; longer documents are blocks of their own.
+BLOCK = 500_000
+#: Entries of the broadcast tables: 24 bytes for a word, 16 for a bigram.
+WORDS = 1 << 20
+GRAMS = 1 << 18
+#: Places in a block from which a bigram is a candidate for the broadcast table.
+SEEN = 4
+#: In place of a first word: none, as w begins its document; a row that describes its document.
+_FIRST, _DOC = 1 << 40, (1 << 40) + 1
+_RARE = np.uint64(1 << 63)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_ROW = "v long, w long, doc long, n int, k int, doc_id long, value double"
+_NAMES = ["v", "w", "doc", "n", "k", "doc_id", "value"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()]
+
+
+def _gram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(v * _STEP + w)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+    """Hashes of the words, number of words of each document, ids of the documents."""
+    hashes, counts, ids, total = [], [], [], 0
+    for batch in sliced(batches):
+        begin, end, doc = words(*(pair := buffer(batch.column(1))))
+        h = run_hashes(pair[0], begin, end)
+        size = len(h) + batch.num_rows
+        if ids and total + size > BLOCK:
+            yield np.concatenate(hashes), np.concatenate(counts), ids
+            hashes, counts, ids, total = [], [], [], 0
+        hashes.append(h)
+        counts.append(np.bincount(doc, minlength=batch.num_rows))
+        ids.append(batch.column(0))
+        total += size
+    if ids:
+        yield np.concatenate(hashes), np.concatenate(counts), ids
 
 
-def _some(rows: Iterator[tuple], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(x) for x in row[5:] if x is not None) + 64
-        if size > most:
-            yield _batch(held)
-            held, size = [], 0
-    if held:
-        yield _batch(held)
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each stands there."""
+    x = np.sort(x)
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[start], np.diff(np.concatenate([start, [len(x)]]))
 
 
-def _route(h: np.ndarray, n: int) -> np.ndarray:
-    return (mix(h ^ _SALT) % np.uint64(n)).astype(np.int64)
+def _followed(count: np.ndarray) -> np.ndarray:
+    """Places of the words that another word of the same document follows."""
+    on = np.ones(int(count.sum()), bool)
+    on[np.cumsum(count)[count > 0] - 1] = False
+    return np.flatnonzero(on)
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: where each group of equal ones starts, and each row's group."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fresh = np.ones(len(keys[0]), bool)
-    fresh[1:] = False
-    for k in keys:
-        fresh[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
+def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x stands in a sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
 
-def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
-    return np.diff(np.concatenate([starts, [n]]))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (kind 0) and of candidate bigrams (kind 1), by block."""
+    for h, count, _ in _blocks(batches):
+        at = _followed(count)
+        gram, times = _distinct(_gram(h[at], h[at + 1]))
+        often = times >= SEEN
+        for kind, key, n in ((0, *_distinct(h)), (1, gram[often], times[often])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers in two bytes each, or four after a mark."""
-    return x.astype(np.uint16).tobytes() if not len(x) or x.max() < 65536 else b"w" + x.astype(np.uint32).tobytes()
+def _recount(shared):
+    """Exact counts of the candidates, by task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        total = np.zeros(len(table), np.int64)
+        for h, count, _ in _blocks(batches):
+            at = _followed(count)
+            place, there = _place(table, _gram(h[at], h[at + 1]))
+            total += np.bincount(place[there], minlength=len(table))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(table[some].view(np.int64)), pa.array(total[some])], ["key", "n"])
 
-def _wide(data: bytes) -> np.ndarray:
-    return (np.frombuffer(data, np.uint32, offset=1) if len(data) % 2 else np.frombuffer(data, np.uint16)).astype(np.int64)
+    return run
 
 
-def _explode(n_parts: int):
-    """Blocks of documents to rows of bigrams, one for each part of the tables."""
+def _explode(shared, tokens: int):
+    """Documents to rows (v, w, doc, n, k): bigram, document, times in it, times of w in it; and one row for each document, with what is already scored."""
+    lone = np.log(ALPHA) - np.log(max(tokens, 1))
 
-    def send(block: int, hashes: list[np.ndarray], counts: list[np.ndarray], ids: list[pa.Array]) -> Iterator[tuple]:
-        v = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        count = np.concatenate(counts)
+    def block(base: int, h: np.ndarray, count: np.ndarray, ids: list[pa.Array], tables: tuple) -> Iterator[list[np.ndarray]]:
+        hashes, codes, known, grams, often = tables
         docs = len(count)
         doc = np.repeat(np.arange(docs, dtype=np.int64), count)
-        # how often each word stands in its document
-        order = np.lexsort((v, doc))
-        start, group = _groups(doc[order], v[order])
-        own = np.empty(len(v), np.int64)
-        own[order] = _sizes(start, len(v))[group]
-        last = np.cumsum(count)[count > 0] - 1
+        u, word = np.unique(h, return_inverse=True)
+        m = np.int64(max(len(u), 1))
+        at, there = _place(hashes, u)
+        code = np.where(there, codes[at] if len(codes) else 0, (u | _RARE).view(np.int64))
+        c = np.where(there, known[at] if len(known) else 0, 0)
+        held, own = _distinct(doc * m + word)
+        # what begins a document
         first = (np.cumsum(count) - count)[count > 0]
-        w, own_w = np.empty_like(v), np.empty_like(own)
-        w[:-1], own_w[:-1] = v[1:], own[1:]
-        w[last], own_w[last] = _END, 0
-        v, w, doc, own = (np.concatenate([x, y]) for x, y in ((v, v[first]), (w, np.full(len(first), _FIRST)), (doc, doc[first]), (own_w, own[first])))
-        del order, group, own_w
-        part = _route(v, n_parts * SUBS)
-        order = np.lexsort((w, v, part))
-        part, v, w, doc, own = part[order], v[order], w[order], doc[order], own[order]
-        cut, _ = _groups(part)
-        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
-            start, _ = _groups(v[low:high], w[low:high])
-            uv, uw = v[low:high][start], w[low:high][start]
-            word, _ = _groups(uv)
-            yield int(part[low]) // SUBS, int(part[low]) % SUBS, _GRAMS, block, docs, np.concatenate([[np.uint64(len(word))], uv[word], uw]).astype(np.uint64).tobytes(), _narrow(_sizes(word, len(uv))), _narrow(_sizes(start, high - low)), _narrow(doc[low:high]), _narrow(own[low:high])
+        w, d = word[first], doc[first]
+        k = own[np.searchsorted(held, d * m + w)]
+        sure = there[w]
+        value = np.bincount(d[sure], lone + np.log(np.maximum(c[w[sure]] - k[sure], 0.5)), docs)
+        backed = np.bincount(d[sure], minlength=docs)
+        rest = ~sure
+        yield [np.full(int(rest.sum()), _FIRST), code[w[rest]], base + d[rest], np.ones(int(rest.sum())), k[rest]]
+        # bigrams of each document; the products stay below 2 ** 63, as a block has few words or one document
+        at = _followed(count)
+        key, n = _distinct((doc[at] * m + word[at]) * m + word[at + 1])
+        rest, w = np.divmod(key, m)
+        d, v = np.divmod(rest, m)
+        k = own[np.searchsorted(held, d * m + w)]
+        at, hot = _place(grams, _gram(u[v], u[w]))
+        hot &= there[v] & there[w]
+        left = np.where(hot, often[at] if len(often) else 0, 0) - n
+        hit, miss = hot & (left > 0), hot & (left <= 0)
+        value += np.bincount(d[hit], n[hit] * (np.log(left[hit]) - np.log(c[v[hit]])), docs)
+        value += np.bincount(d[miss], n[miss] * (lone + np.log(np.maximum(c[w[miss]] - k[miss], 0.5))), docs)
+        backed = backed + np.bincount(d[miss], n[miss], docs).astype(np.int64)
+        cold = ~hot
+        yield [code[v[cold]], code[w[cold]], base + d[cold], n[cold], k[cold]]
         valid = np.concatenate([x.is_valid().to_numpy(zero_copy_only=False) for x in ids])
         number = np.concatenate([x.fill_null(0).to_numpy(zero_copy_only=False) for x in ids])
-        yield int(block % n_parts), 0, _IDS, block, docs, number.astype(np.int64).tobytes(), valid.astype(np.uint8).tobytes(), count.astype(np.int64).tobytes(), None, None
+        place = base + np.flatnonzero(valid)
+        yield [np.full(len(place), _DOC), place, place, count[valid], backed[valid], number[valid], value[valid]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            context = TaskContext.get()
-            block = (context.partitionId() if context else 0) << 24
-            hashes, counts, ids, total = [], [], [], 0
-            for batch in sliced(batches):
-                raw, offsets = buffer(batch.column(1))
-                begin, end, doc = words(raw, offsets)
-                hashes.append(run_hashes(raw, begin, end) | np.uint64(1))  # never 0
-                counts.append(np.bincount(doc, minlength=batch.num_rows))
-                ids.append(batch.column(0))
-                total += len(begin) + batch.num_rows
-                if total > BLOCK_WORDS:
-                    yield from send(block, hashes, counts, ids)
-                    hashes, counts, ids, total, block = [], [], [], 0, block + 1
-            if ids:
-                yield from send(block, hashes, counts, ids)
-
-        return _some(rows())
+        context = TaskContext.get()
+        base = (context.partitionId() if context else 0) << 40
+        for h, count, ids in _blocks(batches):
+            for columns in block(base, h, count, ids, shared.value):
+                for low in range(0, len(columns[0]), 1 << 16):
+                    part = [pa.array(x[low : low + (1 << 16)].astype(t.to_pandas_dtype())) for x, t in zip(columns, _TYPES)]
+                    part += [pa.nulls(len(part[0]), t) for t in _TYPES[len(part) :]]
+                    yield pa.RecordBatch.from_arrays(part, _NAMES)
+            base += len(count)
 
     return run
 
 
-def _by(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
-    """The rows of each value of sorted keys."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and any(held[-1][k] != row[k] for k in keys):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-class _Sums:
-    """Sums by block and document, of those documents that have any."""
-
-    def __init__(self) -> None:
-        self.base: dict[int, int] = {}
-        self.docs: dict[int, int] = {}
-        self.next = 0
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def place(self, block: int, docs: int) -> int:
-        if block not in self.base:
-            self.base[block], self.docs[block] = self.next, docs
-            self.next += docs
-        return self.base[block]
-
-    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(list(self.base), np.int64), np.array(list(self.base.values()), np.int64)
-
-    def add(self, doc: np.ndarray, value: np.ndarray, backed: np.ndarray) -> None:
-        some, at = np.unique(doc, return_inverse=True)
-        self.parts.append((some, np.bincount(at, value, len(some)), np.bincount(at, backed, len(some)).astype(np.int64)))
-
-    def rows(self, part: int) -> Iterator[tuple]:
-        if not self.parts:
-            return
-        doc, value, backed = map(np.concatenate, zip(*self.parts))
-        some, at = np.unique(doc, return_inverse=True)
-        value, backed = np.bincount(at, value, len(some)), np.bincount(at, backed, len(some)).astype(np.int64)
-        number, base = self.blocks()
-        cut = np.searchsorted(some, [*base, self.next])
-        for k, block in enumerate(number.tolist()):
-            here = slice(cut[k], cut[k + 1])
-            if cut[k] < cut[k + 1]:
-                yield part, 0, _SUMS, block, self.docs[block], _narrow(some[here] - base[k]), value[here].tobytes(), _narrow(backed[here]), None, None
-
-
-def _count(n_parts: int):
-    """Joins the bigrams of each part with its counts; sends those that back off on to the partition of their second word."""
-
-    def work(rows: list[dict], sums: _Sums, misses: list[tuple]) -> Iterator[tuple]:
-        v, w, doc, own = [], [], [], []
-        for r in rows:
-            if r["kind"] == _IDS:
-                yield r["part"], 0, _IDS, r["block"], r["docs"], r["a"], r["b"], r["c"], None, None
-                continue
-            data = np.frombuffer(r["a"], np.uint64)
-            n, times = int(data[0]), _wide(r["c"])
-            v.append(np.repeat(np.repeat(data[1 : n + 1], _wide(r["b"])), times))
-            w.append(np.repeat(data[n + 1 :], times))
-            doc.append(_wide(r["d"]) + sums.place(r["block"], r["docs"]))
-            own.append(_wide(r["e"]))
-        if not v:
-            return
-        part = rows[0]["part"]
-        rows.clear()
-        v, w, doc, own = map(np.concatenate, (v, w, doc, own))
-        order = np.lexsort((doc, w, v))
-        v, w, doc, own = v[order], w[order], doc[order], own[order]
-        del order
-        word, of_word = _groups(v)
-        number = np.bincount(of_word, w != _FIRST, len(word)).astype(np.int64)
-        yield part, 0, _WORDS, 0, 0, v[word].tobytes(), number.tobytes(), None, None, None
-        gram, of_gram = _groups(v, w)
-        each, of_each = _groups(v, w, doc)
-        left = _sizes(gram, len(v))[of_gram] - _sizes(each, len(v))[of_each]
-        follows = (w & np.uint64(1)) > 0
-        hit, first, miss = follows & (left > 0), w == _FIRST, follows & (left <= 0)
-        context = number[of_word]
-        value = np.where(hit, np.log(np.maximum(left, 1)) - np.log(np.maximum(context, 1)), np.log(ALPHA) + np.log(np.maximum(context - own, 0.5)))
-        known = hit | first
-        sums.add(doc[known], value[known], first[known])
-        misses.append((w[miss], doc[miss], own[miss]))
-
-    def sent(part: int, sums: _Sums, misses: list[tuple]) -> Iterator[tuple]:
-        yield from sums.rows(part)
-        if not misses:
-            return
-        w, doc, own = map(np.concatenate, zip(*misses))
-        number, base = sums.blocks()
-        to = _route(w, n_parts * SUBS) // SUBS
-        order = np.lexsort((doc, w, to))
-        to, w, doc, own = to[order], w[order], doc[order], own[order]
-        block = np.searchsorted(base, doc, "right") - 1
-        cut, _ = _groups(to)
-        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(to)]):
-            start, _ = _groups(w[low:high])
-            used, at = np.unique(block[low:high], return_inverse=True)
-            local = np.stack([at, doc[low:high] - base[block[low:high]]])
-            sizes = np.array([sums.docs[b] for b in number[used].tolist()], np.int64)
-            yield int(to[low]), 0, _MISSES, 0, len(used), w[low:high][start].tobytes(), _narrow(_sizes(start, high - low)), number[used].tobytes() + sizes.tobytes(), _narrow(local.ravel()), _narrow(own[low:high])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        part, sums, misses = None, _Sums(), []
-        for some in _by(batches, "part", "sub"):
-            if some[0]["part"] != part:
-                if part is not None:
-                    yield from sent(part, sums, misses)
-                part, sums, misses = some[0]["part"], _Sums(), []
-            yield from work(some, sums, misses)
-        if part is not None:
-            yield from sent(part, sums, misses)
-
-    return lambda batches: _some(rows(batches))
-
-
-def _back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds what the words that this partition counts are worth by themselves."""
-
-    def work(rows: list[dict]) -> Iterator[tuple]:
-        part, sums = rows[0]["part"], _Sums()
-        table = [r for r in rows if r["kind"] == _WORDS]
-        key = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in table] or [np.zeros(0, np.uint64)])
-        number = np.concatenate([np.frombuffer(r["b"], np.int64) for r in table] or [np.zeros(0, np.int64)])
-        order = np.argsort(key)
-        key, number = key[order], number[order]
-        for r in rows:
-            if r["kind"] == _IDS:
-                yield part, 0, _IDS, r["block"], r["docs"], r["a"], r["b"], r["c"], None, None
-            elif r["kind"] == _SUMS:
-                sums.parts.append((_wide(r["a"]) + sums.place(r["block"], r["docs"]), np.frombuffer(r["b"], np.float64), _wide(r["c"])))
-            elif r["kind"] == _MISSES:
-                known = np.frombuffer(r["c"], np.int64)
-                base = np.array([sums.place(b, n) for b, n in zip(known[: r["docs"]].tolist(), known[r["docs"] :].tolist())], np.int64)
-                count = np.repeat(number[np.searchsorted(key, np.frombuffer(r["a"], np.uint64))], _wide(r["b"]))
-                at, local = _wide(r["d"]).reshape(2, -1)
-                sums.add(base[at] + local, np.log(ALPHA) + np.log(np.maximum(count - _wide(r["e"]), 0.5)), np.ones(len(at)))
-        rows.clear()
-        yield from sums.rows(part)
-
-    return _some(row for rows in _by(batches, "part") for row in work(rows))
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a block to rows of documents."""
-    for rows in _by(batches, "block"):
-        known = next(r for r in rows if r["kind"] == _IDS)
-        ids, valid, count = (np.frombuffer(known[k], t) for k, t in (("a", np.int64), ("b", np.uint8), ("c", np.int64)))
-        total, backed = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        for r in rows:
-            if r["kind"] == _SUMS:  # a document once in each
-                total[_wide(r["a"])] += np.frombuffer(r["b"], np.float64)
-                backed[_wide(r["a"])] += _wide(r["c"])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), *map(pa.array, (count, backed, total))], ["doc_id", "n_words", "n_backoff", "total"])
-
-
-def scores(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_words, n_backoff, score), one for each row with a doc_id."""
-    spark = docs.sparkSession
-    n = parts(spark)
+def _most(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent keys, not more than `most`: all those from a count on that is a power of 2 ** (1/8)."""
+    level = F.floor(F.log2("n") * 8)
+    total, cut = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("keys")).collect(), key=lambda r: -r["level"]):  # at most 512 rows
+        total += r["keys"]
+        if total > most:
+            cut = r["level"] + 1
+            break
+    return counts.where(level >= cut)
+
+
+def _tables(source: DataFrame, most_words: int, most_grams: int) -> tuple[DataFrame, DataFrame, object, int]:
+    """Counts of all words; codes and counts of the frequent ones; these and the frequent bigrams, broadcast; the number of words."""
+    spark = source.sparkSession
+    counted = written(source.mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    every = counted.where("kind = 0").select("key", "n")
+    tokens = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = _most(every, most_words).toArrow()
+    key, n = (often.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
+    order = np.lexsort((key, -n))  # codes by frequency: short where they stand often
+    key, n = key[order], n[order]
+    codes = np.arange(len(key))
+    table = written(spark.createDataFrame(pa.table({"code": codes, "c": n})), "codes")
+    order = np.argsort(key.view(np.uint64))
+    grams = np.sort(_most(counted.where("kind = 1").select("key", "n"), most_grams).toArrow().column("key").combine_chunks().to_numpy().view(np.uint64))
+    exact = source.mapInArrow(_recount(spark.sparkContext.broadcast(grams)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    gram, times = exact.column("key").combine_chunks().to_numpy().view(np.uint64), exact.column("n").combine_chunks().to_numpy()
+    by = np.argsort(gram)
+    return every, table, spark.sparkContext.broadcast((key.view(np.uint64)[order], codes[order], n[order], gram[by], times[by])), tokens
+
+
+def _log(c: str | Column, k: str) -> Column:
+    return F.log(F.greatest(F.col(c) - F.col(k), F.lit(0.5)))
+
+
+def scores(docs: DataFrame, most_words: int = WORDS, most_grams: int = GRAMS) -> DataFrame:
+    """Rows (doc_id, n_words, n_backoff, score), one for each row with a doc_id. The sizes of the broadcast tables do not change them."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("text"))
-
-    def by_part(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "part").sortWithinPartitions("part", "sub")
-
-    counted = by_part(source.mapInArrow(_explode(n), _ROW)).mapInArrow(_count(n), _ROW)
-    summed = by_part(counted).mapInArrow(_back_off, _ROW)
-    # a small table: its two readers below must not repeat the work, and a lost executor must not either
-    rows = written(summed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_gather, "doc_id long, n_words long, n_backoff long, total double"), "scores")
-    tokens = rows.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    mean = (F.col("total") - F.col("n_backoff") * F.lit(float(np.log(max(tokens, 1))))) / F.col("n_words")
-    return rows.where("doc_id is not null").select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(mean, 6)).alias("score"))
+    every, table, shared, tokens = _tables(source, most_words, most_grams)
+    rows = source.mapInArrow(_explode(shared, tokens), _ROW)
+    # one shuffle by bigram: its count stands beside its rows
+    left = F.sum("n").over(Window.partitionBy("v", "w")) - F.col("n")
+    hit, miss = F.col("kind") == "hit", F.col("kind") == "miss"
+    grams = rows.withColumn("left", left).withColumn("kind", F.when(F.col("v") == _DOC, "doc").when((F.col("v") < _FIRST) & (F.col("left") > 0), "hit").otherwise("miss"))
+    # a hit is divided by c(v), a miss backs off to c'(w): both add weight * ln max(c - less, 1/2)
+    grams = grams.select(
+        "doc", "doc_id", F.when(hit, F.col("v")).when(miss, F.col("w")).alias("word"), F.when(hit, -F.col("n")).when(miss, F.col("n")).otherwise(0).alias("weight"), F.when(miss, F.col("k")).otherwise(0).alias("less"),
+        F.when(hit, F.col("n") * F.log("left")).when(miss, F.col("n") * F.lit(float(np.log(ALPHA) - np.log(max(tokens, 1))))).otherwise(F.col("value")).alias("known"),
+        F.when(hit, 0).when(miss, F.col("n")).otherwise(F.col("k")).alias("backed"), F.when(~hit & ~miss, F.col("n")).alias("n_words"),
+    )
+    # the broadcast side has WORDS rows at most
+    coded = grams.join(F.broadcast(table), F.col("word") == F.col("code"), "left")
+    # words without a code wait for their counts; all else of a document becomes one row. Its own number, never negative, stands where no word waits,
+    # so that these rows are spread and meet no count
+    waits = F.col("word") < 0
+    known = F.col("known") + F.when(F.col("c").isNotNull(), F.col("weight") * _log("c", "less")).otherwise(0.0)
+    part = coded.select("doc", "doc_id", "n_words", "backed", known.alias("known"), F.when(waits, F.col("word")).otherwise(F.col("doc")).alias("waits"), *(F.when(waits, F.col(c)).otherwise(0).alias(c) for c in ("weight", "less")))
+    part = part.groupBy("doc", "waits", "less").agg(F.sum("weight").alias("weight"), F.sum("known").alias("known"), F.sum("backed").alias("backed"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+    rare = every.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("rare"), F.col("n").alias("c")).groupBy("rare").agg(F.sum("c").alias("c"))
+    joined = part.join(rare, F.col("waits") == F.col("rare"), "left")
+    value = F.col("known") + F.when(F.col("c").isNotNull(), F.col("weight") * _log("c", "less")).otherwise(0.0)
+    total = joined.groupBy("doc").agg(F.sum(value).alias("total"), F.sum("backed").alias("n_backoff"), F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"))
+    return total.where("n_words is not null").select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n_words"), 6)).alias("score"))
