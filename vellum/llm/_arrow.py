@@ -53,10 +53,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage, and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a table written to the shared folder: cuts lineage, and survives the loss of executors. `discard` removes the table; what a lazy result
+    still reads goes with the application."""
+    spark = df.sparkSession
+    home = f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}"
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, files = _hadoop(spark, home)
+    files.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by `written` that nothing reads any more."""
+    for table in tables:
+        where, files = _hadoop(table.sparkSession, table._written_to)
+        files.delete(where, True)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -76,6 +95,11 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def place_of(column: str, df: DataFrame) -> int:
+    """Which of df's columns has that name, in upper or lower case, as Spark resolves names."""
+    return [c.lower() for c in df.columns].index(column.lower())
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,12 +119,12 @@ def buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each slice have at most `most` bytes, or are one document."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = buffer(batch.column(batch.schema.get_field_index(column)))
+        _, offsets = buffer(batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
