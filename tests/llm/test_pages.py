@@ -94,6 +94,60 @@ def test_stretches_by_brute_force(rng):
         assert html.stretches(np.array(length, np.int64), html.WINDOW, html.SURGE) == want
 
 
+# the rules of the docstring as substitutions one after the other: slow on hostile pages, and only for pages whose tags are whole
+RAW = r"<!--.*?(?:-->|\Z)|<(?:script\b[^>]*>.*?(?:</script\s*>|\Z)|style\b[^>]*>.*?(?:</style\s*>|\Z)|svg\b[^>]*/>)|<(?P<{0}>noscript|template|svg|select|iframe|textarea|title)\b[^>]*>.*?</(?P={0})\s*>"
+# a head ends at its tag, if that comes before <body>, else at what cannot stand in a head
+HEAD = rf"<head\b[^>]*>(?:(?>{RAW.format('a')}|(?!</head\b|<body\b).)*+</head\s*>|(?>{RAW.format('b')}|\s+|<(?:meta|link|base)\b[^>]*>|<[!?][^>]*>)*+)"
+DROP = re.compile(rf"{HEAD}|{RAW.format('c').replace('|title', '')}|<[!?][^>]*>", re.I | re.S)
+SECTION = re.compile(r"</?(?:nav|header|footer|aside|article|main|section|form|menu|dialog|body|html)\b[^>]*>", re.I)
+BLOCK = re.compile(r"\s*</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|td|th|table|thead|tbody|tfoot|caption|blockquote|pre|figure|figcaption|address|fieldset|legend|details|summary|option|title)\b[^>]*>(?:\s*</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|td|th|table|thead|tbody|tfoot|caption|blockquote|pre|figure|figcaption|address|fieldset|legend|details|summary|option|title)\b[^>]*>)*\s*", re.I)
+
+
+def _substituted(page):
+    text = SECTION.sub("\0", DROP.sub("\n", page.replace("\0", "")))
+    text = unescape(re.sub("</?[a-zA-Z][^>]*>", "", BLOCK.sub("\n", text).replace("\0", "\n" * (html.WINDOW + 1))))
+    return [re.sub(r"[ \t\r\f\v\xa0]+", " ", line).strip() for line in text.split("\n")]
+
+
+PIECES = "<p>|</p>|<div class=x>| |\n|  |text|a b|<b>|</b>|<br/>|<script>|</script>|<style>|</style>|<!--|-->|<!doctype html>|<?x?>|<head>|</head>|<body>|</body>|<title>|</title>|<svg/>|<svg>|</svg>|<nav>|</nav>|<article>|<select>|</select>|<meta x>|&amp;|<template>|</template >|<HEAD>|</p x>|<link>|<h1>|<1>|\0".split("|")
+
+
+def test_whole_extraction_by_brute_force(spark, rng):
+    pages = [p["html"] for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    pages += ["".join(rng.choices([*PIECES, LONG], k=rng.randint(1, 14))) for _ in range(5000)]
+    for page in pages:
+        lines = _substituted(page)
+        assert html.lines_of(page) == lines
+        length = [len(x.replace(" ", "")) for x in lines]
+        full = [any(length[i : i + html.WINDOW]) for i in range(len(lines))]
+        found = [[]]
+        for i, on in enumerate(full):
+            if on:
+                found[-1].append(i)
+            elif found[-1]:
+                found.append([])
+        found = [f for f in found if f]
+        big = [f for f in found if max(sum(length[i : i + html.WINDOW]) for i in f) > html.SURGE]
+        kept = big or sorted(found, key=lambda f: -sum(length[i] for i in f))[:1]
+        assert html.extract(page) == ("\n".join(lines[i] for f in kept for i in f if lines[i]), len(kept), sum(length) - sum(length[i] for f in kept for i in f))
+
+
+HOSTILE = ["<script ", "<p ", " ", "<head>", "<head><meta x>", "<svg>", "<!-- ", "<p>", "&#", "<template>", "<noscript><svg>", "</head ", "</script ", "<head><svg>", "<a>", "<head> x <title>", "</textarea", "<", "<!", "\n", "\xa0"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_time_is_linear(piece):
+    import time
+
+    took = []
+    for size in (150_000, 1_200_000):
+        page = piece * (size // len(piece))
+        t = time.process_time()
+        html.extract(page)
+        took.append(time.process_time() - t)
+    assert took[1] < 30 * max(took[0], 0.05)  # eight times the length: by squares it would be 64
+
+
 def test_extracted_rows(spark):
     df = spark.createDataFrame([(1, PAGE % (LONG, ""), "x"), (1, PAGE % (LONG, ""), "x"), (None, "<p>a</p>", None), (2, None, None), (3, "", None)], "page_id long, html string, text string")
     got = html.extracted(df).collect()
