@@ -81,6 +81,40 @@ def test_decontamination(spark, rng):
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("lengths", [(1, 2, 7), (8, 15), (16, 31), (32, 90), (1, 8, 16, 32, 200)])
+def test_classes_of_patterns(rng, lengths):
+    text = " ".join(words(prose(rng, 4000)))
+    patterns = set()
+    while len(patterns) < 30:
+        at = text.index(" ", rng.randrange(len(text) - 300)) + 1
+        piece = text[at : text.index(" ", at + rng.choice(lengths) - 1)]
+        patterns.add(piece if rng.random() < 0.7 else piece + "x")
+    patterns = sorted(patterns)
+    held = f" {text} "
+    want = sorted((m.start(), k) for k, p in enumerate(patterns) for m in re.finditer(f"(?= {re.escape(p)} )", held))
+    at, which = decontaminate.Tables([p.encode() for p in patterns]).find(np.frombuffer(f"\n{text}\n".encode(), np.uint8))
+    assert sorted(zip((at - 1).tolist(), which.tolist())) == want and want
+
+
+def test_a_short_item_costs_little(rng):
+    import time
+
+    text = np.frombuffer(("\n" + " ".join(words(prose(rng, 400_000))) + "\n").encode(), np.uint8)
+    long = [" ".join(words(prose(rng, 13))).encode() for _ in range(2000)]
+    took = []
+    for patterns in (long, [*long, b"xy"]):
+        table = decontaminate.Tables(patterns)
+        times = []
+        for _ in range(3):
+            t = time.process_time()
+            table.find(text)
+            times.append(time.process_time() - t)
+        took.append(min(times))
+    t = time.process_time()
+    decontaminate.normalized(text, np.array([0, len(text)]))
+    assert took[1] < 2 * took[0] + (time.process_time() - t)  # reading a text costs more than either search
+
+
 def test_near_duplicates(spark, rng):
     texts = []
     for k in range(60):

@@ -6,7 +6,8 @@ item where it is shorter. Words are compared in lower case and without what stan
 The patterns are the distinct word runs of all items. A table of shifts, indexed by a hash of the last BLOCK bytes of
 the current window, tells how far the search may jump without missing an occurrence; where it says 0, the bucket
 of patterns with that suffix hash is tested by direct comparison. Many places of a text are searched in lock step, so
-that a jump is one vector operation for all of them.
+that a jump is one vector operation for all of them. No jump is longer than the shortest pattern, so patterns have a table for each class of lengths, and
+one short item does not slow the search for the long ones; below CLASSES[-1] bytes, where jumps are short anyway, a window is tried where a word begins.
 
 The pattern tables are broadcast in groups of at most GROUP_BYTES of pattern text; larger benchmarks take more passes.
 
@@ -29,6 +30,8 @@ from ._arrow import IS_WORD, buffer, ranges, sliced, small_side, strings, text_o
 SPAN = 13
 BLOCK = 8
 TABLE_BITS = 20
+#: Least lengths of the classes of patterns.
+CLASSES = (1, 8, 16, 32)
 GROUP_BYTES = 4 << 20
 _LANE = 1024
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +55,19 @@ def normalized(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[keep], place[breaks]
 
 
+class Tables:
+    """Patterns by classes of length."""
+
+    def __init__(self, patterns: list[bytes]):
+        kind = np.searchsorted(CLASSES, [len(p) for p in patterns], "right")
+        self.classes = [(np.flatnonzero(kind == k), Patterns([patterns[i] for i in np.flatnonzero(kind == k)])) for k in np.unique(kind)]
+
+    def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and pattern numbers of all occurrences in normalised text that begin and end with a word."""
+        found = [(at, number[which]) for number, table in self.classes for at, which in [table.find(text)]]
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([f[k] for f in found] for k in (0, 1)))
+
+
 class Patterns:
     """Shift table and suffix buckets of byte patterns that consist of words parted by single spaces."""
 
@@ -81,16 +97,21 @@ class Patterns:
             return (((wide[at] & self.mask) * _MULT) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and pattern numbers of all occurrences in normalised text that begin and end with a word."""
+        """As that of Tables."""
         n, none = len(text), np.zeros(0, np.int64)
         if n < self.least or not self.patterns:
             return none, none
         padded = np.concatenate([text, np.zeros(8, np.uint8)])
         wide = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
-        # each lane owns the window starts from `at` to `stop`
-        at = np.arange(0, n - self.least + 1, _LANE)
-        stop = np.minimum(at + _LANE, n - self.least + 1)
         tail, down, found = self.least - self.block, np.uint64(64 - TABLE_BITS), []
+        if self.least < CLASSES[-1]:
+            word = IS_WORD[text]
+            at = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]]))
+            at = at[at <= n - self.least]
+            stop = at + 1
+        else:  # each lane owns the window starts from `at` to `stop`
+            at = np.arange(0, n - self.least + 1, _LANE)
+            stop = np.minimum(at + _LANE, n - self.least + 1)
         with np.errstate(over="ignore"):
             while len(at):
                 jump = self.shift[(((wide[at + tail] & self.mask) * _MULT) >> down).astype(np.int64)]
@@ -159,10 +180,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     found = None
     for group in _groups(runs):
         shared = spark.sparkContext.broadcast((group, [runs[p] for p in group]))
-        # longer runs first bound the shift by their own length; one table for each length class keeps jumps long
+
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             group, owners = shared.value
-            table = Patterns(group)
+            table = Tables(group)
             for batch in sliced(batches):
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 text, begins = normalized(*buffer(batch.column(1)))
