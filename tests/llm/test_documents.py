@@ -321,10 +321,14 @@ def test_labelled_quality(spark):
     assert len(good) > 1000 and len(bad) > 100 and sum(good) <= 0.01 * len(good) and sum(bad) >= 0.95 * len(bad)
 
 
-def test_repeated_spans(spark, rng):
+@pytest.mark.parametrize("hot", [spans.HOT, 3, 0])
+def test_repeated_spans(spark, rng, hot, monkeypatch):
+    """Every run of sentences, against what is hashed of them."""
+    monkeypatch.setattr(spans, "repeats", lambda d, f=spans.repeats: f(d, hot))
     passage = prose(rng, 60)
     texts = [prose(rng, 60) + " " + passage + " " + prose(rng, 30) if k % 4 == 0 else prose(rng, 80) for k in range(20)]
-    texts += [passage + "\n" + passage, "One. Two.", "Short one. Short two."]
+    texts += [passage + "\n" + passage, "One. Two.", "Short one. Short two.", ". ".join(passage.split(".")[:3]) + ". Ends."]
+    texts += [f"{prose(rng, 15)} {' '.join(passage.split(' ')[k : k + 40])}. {prose(rng, 9)}" for k in range(0, 20, 3)]
     seen, drop, split = set(), defaultdict(set), []
     for d, t in enumerate(texts):
         pieces = [m[0] for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t)]
@@ -337,27 +341,36 @@ def test_repeated_spans(spark, rng):
         split.append(joined)
         n = [words(p) for p in joined]
         for k in range(len(n)):
-            for stop in range(k + spans.SENTENCES, len(n) + 1):
+            for stop in range(k + 1, len(n) + 1):
                 if sum(map(len, n[k:stop])) >= spans.WORDS:
                     key = tuple(w for x in n[k:stop] for w in x)
                     if key in seen:
                         drop[d].update(range(k, stop))
                     seen.add(key)
-                    break
     got = {r["doc_id"]: r for r in spans.cleaned(table(spark, texts)).collect()}
     for d, t in enumerate(texts):
         want = "".join(p for k, p in enumerate(split[d]) if k not in drop[d])
-        assert (got[d]["text"], got[d]["n_removed"], got[d]["n_chars"]) == (want, len(drop[d]), len(want))
-    assert got[4]["n_removed"] >= 5 and got[0]["n_removed"] == 0
+        assert (got[d]["text"], got[d]["n_removed_"], got[d]["n_removed"], got[d]["n_chars"]) == (want, len(drop[d]), 1, len(want))
+    assert got[4]["n_removed_"] >= 5 and got[0]["n_removed_"] == 0
+    changed = {r["doc_id"]: tuple(r) for r in spans.cleaned(table(spark, texts), changed=True).collect()}
+    assert changed == {d: tuple(got[d]) for d in drop if drop[d]}
+
+
+def test_repeated_spans_of_more_documents_than_are_broadcast(spark, rng, monkeypatch):
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", 0)
+    passage = prose(rng, 40)
+    texts = [f"Begins {k}. {passage} Ends {k}." for k in range(6)] + [prose(rng, 40), None]
+    got = {r["doc_id"]: (r["text"], r["n_removed_"] > 0) for r in spans.cleaned(table(spark, texts)).collect()}
+    assert got == {0: (texts[0], False), **{k: (f"Begins {k}. Ends {k}.", True) for k in range(1, 6)}, 6: (texts[6], False), 7: (None, False)}
+    assert {r["doc_id"] for r in spans.cleaned(table(spark, texts), changed=True).collect()} == set(range(1, 6))
 
 
 def test_repeated_single_sentences(spark, rng):
     """A long sentence between edited ones, and a text of one sentence, are spans too; a short sentence is not."""
     long, short = (" ".join(f"w{k}x{n}" for k in range(n)) + "." for n in (60, 19))
-    texts = [f"One begins. {long} One ends.", f"Two begins. {long} Two ends.", long, f"Three begins. {short}", f"Four begins. {short}"]
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in spans.cleaned(table(spark, texts)).collect()}
-    assert got == {0: (texts[0], 0), 1: ("Two begins. Two ends.", 1), 2: ("", 1), 3: (texts[3], 0), 4: (texts[4], 0)}
-    assert spans.cleaned(table(spark, texts), alone=None).where("n_removed > 0").count() == 0
+    texts = [f"One begins here. {long} One ends.", f"Two begins here. {long} Two ends.", long, short, short]
+    got = {r["doc_id"]: (r["text"], r["n_removed_"]) for r in spans.cleaned(table(spark, texts)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("Two begins here. Two ends.", 1), 2: ("", 1), 3: (short, 0), 4: (short, 0)}
 
 
 def test_cleaned_query_returns_every_document(spark):

@@ -48,9 +48,12 @@ def op6_lm_scores() -> str:
     FROM d LEFT JOIN s USING (rid) WHERE doc_id IS NOT NULL"""
 
 
-def op9_repeated_spans() -> str:
+def op9_repeated_spans(changed: bool = True) -> str:
     from . import spans
 
+    if_changed = "HAVING count(*) FILTER (WHERE gone.s IS NOT NULL) > 0" if changed else ""
+    rest = "" if changed else " UNION ALL SELECT doc_id, 0, 0, text FROM documents WHERE doc_id IS NULL OR coalesce(text, '') = ''"
+
     return f"""
     WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
     p AS (SELECT doc_id, text, g.k, pieces[g.k] AS piece, {_WORDS.format('pieces[g.k]')} AS words
@@ -59,14 +62,18 @@ def op9_repeated_spans() -> str:
     n AS (SELECT doc_id, text, s, string_agg(piece, '' ORDER BY k) AS sentence, max(CASE WHEN len(words) > 0 THEN array_to_string(words, ' ') END) AS words, max(len(words)) AS n FROM o GROUP BY ALL),
     c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, text ORDER BY s) AS upto FROM n WHERE s > 0),
     l AS (SELECT doc_id, text, list(words ORDER BY s) AS words, list(upto ORDER BY s) AS upto FROM c GROUP BY ALL),
-    r AS (SELECT doc_id, text, g.k AS s, words, greatest(g.k + {spans.SENTENCES - 1}, len(list_filter(upto, lambda x: x < coalesce(upto[g.k - 1], 0) + {spans.WORDS})) + 1) AS stop
-          FROM l, unnest(generate_series(1, len(words))) AS g(k)),
+    r AS (SELECT doc_id, text, g.k AS s, words, len(list_filter(upto, lambda x: x < coalesce(upto[g.k - 1], 0) + {spans.WORDS})) + 1 AS stop FROM l, unnest(generate_series(1, len(words))) AS g(k)
+          UNION SELECT doc_id, text, len(list_filter(upto, lambda x: x <= upto[g.k] - {spans.WORDS})) + 1 AS s, words, g.k AS stop FROM l, unnest(generate_series(1, len(words))) AS g(k) WHERE upto[g.k] >= {spans.WORDS}),
     v AS (SELECT doc_id, text, s, stop, array_to_string(words[s:stop], ' ') AS span FROM r WHERE stop <= len(words)),
     f AS (SELECT *, rank() OVER (PARTITION BY span ORDER BY doc_id, s) AS place FROM v),
     gone AS (SELECT DISTINCT doc_id, text, unnest(generate_series(s, stop)) AS s FROM f WHERE place > 1)
     SELECT n.doc_id, count(*) FILTER (WHERE s > 0) AS n_sentences, count(*) FILTER (WHERE gone.s IS NOT NULL) AS n_removed,
            coalesce(string_agg(sentence, '' ORDER BY s) FILTER (WHERE gone.s IS NULL), '') AS text
-    FROM n LEFT JOIN gone USING (doc_id, text, s) GROUP BY n.doc_id, n.text HAVING count(*) FILTER (WHERE gone.s IS NOT NULL) > 0"""
+    FROM n LEFT JOIN gone USING (doc_id, text, s) GROUP BY n.doc_id, n.text {if_changed}{rest}"""
+
+
+def op9_cleaned() -> str:
+    return op9_repeated_spans(False)
 
 
 def op5_url_filters() -> str:
@@ -106,4 +113,4 @@ def op7_licenses() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_decontaminate, op5_url_filters, op6_lm_scores, op7_licenses, op9_repeated_spans, op10_secrets)}
+    return {f.__name__: f() for f in (op1_decontaminate, op5_url_filters, op6_lm_scores, op7_licenses, op9_repeated_spans, op9_cleaned, op10_secrets)}

@@ -50,12 +50,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents from which a sentence is removed, by spans of SENTENCES sentences alone: the rule of its SQL."""
-    return spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=None).where("n_removed > 0")
+    """The documents from which a sentence is removed."""
+    return spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), changed=True)
 
 
 def op9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, cleaned by all spans."""
+    """Every document, cleaned."""
     return spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
