@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, licenses, ngrams, quality, secrets, sentencepiece, simhash, spans
-from vellum.llm._arrow import buffer
+from vellum.llm._arrow import buffer, mix, run_hashes
 
 from .conftest import ODD, prose, table
 
@@ -144,6 +144,51 @@ def test_near_duplicates(spark, rng):
     assert kept == {d for d in range(len(texts)) if find(d) == d}
 
 
+def _brute_fingerprint(text):
+    """Signs of summed hash bits over the distinct words, bit by bit; each word is hashed by itself."""
+    sums, found = [0] * 128, set(words(text))
+    for w in found:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        h = run_hashes(raw, np.array([0]), np.array([len(raw)]))
+        other = mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        for half, value in enumerate((int(h[0]), int(other[0]))):
+            for bit in range(64):
+                sums[64 * half + bit] += 1 if value >> bit & 1 else -1
+    return [sum((x > 0) << k for k, x in enumerate(sums[64 * half : 64 * half + 64])) for half in (0, 1)], bool(found)
+
+
+def test_fingerprints(rng):
+    texts = [t or "" for t in ODD] + [prose(rng, n) for n in (1, 2, 30, 300)]
+    low = [t.lower() for t in texts]
+    raw = np.frombuffer("".join(low).encode(), np.uint8)
+    got, some = simhash.fingerprints(raw, np.cumsum([0, *(len(t.encode()) for t in low)]))
+    for t, row, on in zip(texts, got.tolist(), some.tolist()):
+        want, there = _brute_fingerprint(t)
+        assert on == there and (not there or row == want)
+
+
+def test_pairs_within_wide_buckets():
+    """Buckets of thousands, near and far, connect what brute force connects."""
+    gen = np.random.default_rng(5)
+    a = np.concatenate([np.uint64(12345) ^ (np.uint64(1) << gen.integers(0, 64, 3000).astype(np.uint64)), gen.integers(0, 2**63, 900, dtype=np.uint64)])
+    b = np.where(gen.random(3900) < 0.5, np.uint64(7), np.uint64(2**40 + 7))
+    key, side = np.sort(np.repeat([1, 2, 3], 1300)), np.full(3900, 2, np.int8)
+    order = gen.permutation(3900)
+    a, b = a[order], b[order]
+    root = np.arange(3900)
+    for low in (0, 1300, 2600):
+        for i in range(low, low + 1300):
+            j = np.arange(low, low + 1300)
+            d = np.bitwise_count(a[i] ^ a[j]).astype(int)
+            near = j[(d <= simhash.TAU) & (d + np.bitwise_count(b[i] ^ b[j]) <= simhash.TAU_ALL) & (d + np.bitwise_count(b[i] ^ b[j]) > 0)]
+            ends = np.unique(root[np.append(near, i)])
+            root[np.isin(root, ends)] = ends.min()
+    got = np.arange(3900)
+    left, right = simhash._edges(key, side, a, b)
+    got[left] = right
+    assert (got == root).all() and len(left) > 1000
+
+
 @pytest.mark.parametrize("tau", [0, 3, 10])
 def test_pigeonhole(tau, rng):
     """Thresholds leave no pair within tau out."""

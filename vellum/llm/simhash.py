@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import buffer, mix, parts, run_hashes, shared_dir, sliced, small_side, text_of, words, written
+from ._arrow import buffer, discard, mix, parts, run_hashes, shared_dir, sliced, small_side, text_of, words, written
 
 TAU = 10
 TAU_ALL = 24
@@ -38,6 +38,7 @@ ESTIMATE_ROWS = 20_000
 TASK_ROWS = 400_000
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1).astype(np.float32)
 _ROW_COST, _PAIR_COST = 1.0, 0.01
+_EDGE = ["a1", "a2", "b1", "b2"]
 
 
 def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,33 +141,54 @@ def _gather(x: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def _edges(keys: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key: edges that connect what is connected by verified pairs of rows with equal keys and
-    fitting sides (0 meets 1; 2 meets itself)."""
+def _root(label: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Ends of the chains of labels, which they are then shortened to."""
+    at = label[i]
+    while (up := label[at]).tobytes() != at.tobytes():
+        at = up
+    label[i] = at
+    return at
+
+
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Gives connected rows the same root, the smallest."""
+    while len(i):
+        i, j = _root(label, i), _root(label, j)
+        apart = i != j
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+
+
+def _edges(keys: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key: rows that connect what is connected by verified pairs of rows with equal keys and
+    fitting sides (0 meets 1; 2 meets itself). Pairs are united as they are verified, so memory follows the rows."""
     bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([bounds, [len(keys)]]))
     label = np.arange(len(keys))
-    left, right = [], []
 
     def verify(i: np.ndarray, j: np.ndarray) -> None:
         d = np.bitwise_count(a[i] ^ a[j]).astype(np.int64)
         near = np.flatnonzero(d <= TAU)
         i, j, d = i[near], j[near], d[near]
-        ok = (d + np.bitwise_count(b[i] ^ b[j]) <= TAU_ALL) & (ids[i] != ids[j]) & ((side[i] == 2) | (side[i] != side[j]))
-        left.append(i[ok])
-        right.append(j[ok])
+        d = d + np.bitwise_count(b[i] ^ b[j])
+        ok = (d <= TAU_ALL) & (d > 0) & ((side[i] == 2) | (side[i] != side[j]))
+        _unite(label, i[ok], j[ok])
 
-    # every row meets the ones behind it in its bucket, distance by distance, so that memory follows the rows
     order = np.argsort(-size, kind="stable")
     bounds, size = bounds[order], size[order]
     wide = size > 256
     for start, n in zip(bounds[wide].tolist(), size[wide].tolist()):
         for low in range(start, start + n, 256):
             block = np.arange(low, min(low + 256, start + n))
+            mine = _root(label, block)
             for at in range(low, start + n, 4096):
                 other = np.arange(at, min(at + 4096, start + n))
+                if (mine == mine[0]).all():  # what is connected already need not meet
+                    other = other[_root(label, other) != mine[0]]
                 i, j = np.repeat(block, len(other)), np.tile(other, len(block))
                 verify(i[i < j], j[i < j])
+                mine = _root(label, block)
+    # every row of a small bucket meets the ones behind it, distance by distance
     bounds, size = bounds[~wide], size[~wide]
     last = np.repeat(bounds + size, size)
     rows = np.repeat(bounds, size) + (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
@@ -174,18 +196,10 @@ def _edges(keys: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray, ids
         on = rows + step < last
         rows, last = rows[on], last[on]
         verify(rows, rows + step)
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    # smallest reachable row within the task stands for all: a spanning star instead of all pairs
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    hit = np.flatnonzero(label != np.arange(len(keys)))
-    return ids[hit], ids[label[hit]]
+    # a spanning star instead of all pairs
+    root = _root(label, np.arange(len(keys)))
+    hit = np.flatnonzero(root != np.arange(len(keys)))
+    return hit, root[hit]
 
 
 def near_edges(prints: DataFrame, n: int) -> DataFrame:
@@ -199,15 +213,15 @@ def near_edges(prints: DataFrame, n: int) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [(bits, t, _probes(len(bits), t)) for bits, t in plan]
         for batch in batches:
-            ids, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for k, (bits, t, (low, high)) in enumerate(tables):
                 value = _gather(a.view(np.uint64), bits)
                 for side, masks in ((2, low),) if t % 2 == 0 else ((0, low), (1, high)):
                     for at in range(0, len(masks), 64):
                         some = masks[at : at + 64]
                         key = (mix((value[None, :] ^ some[:, None]) ^ np.uint64((k + 1) << 56))).ravel().view(np.int64)
-                        again = [np.tile(x, len(some)) for x in (ids, a, b)]
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, np.int8)), *map(pa.array, again)], ["key", "side", "id", "h1", "h2"])
+                        again = [np.tile(x, len(some)) for x in (a, b)]
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, np.int8)), *map(pa.array, again)], ["key", "side", "h1", "h2"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -216,30 +230,34 @@ def near_edges(prints: DataFrame, n: int) -> DataFrame:
             nonlocal held, count
             if not held:
                 return
-            key, side, ids, a, b = (np.concatenate([x[k] for x in held]) for k in range(5))
+            key, side, a, b = (np.concatenate([x[k] for x in held]) for k in range(4))
             cut = len(key) if last else int(np.searchsorted(key.view(np.int64), key[-1], "left"))
             if cut:
-                left, right = _edges(key[:cut], side[:cut], a[:cut].view(np.uint64), b[:cut].view(np.uint64), ids[:cut])
-                pairs = np.unique(np.stack([left, right], 1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            held, count = ([[x[cut:] for x in (key, side, ids, a, b)]] if cut < len(key) else []), len(key) - cut
+                left, right = _edges(key[:cut], side[:cut], a[:cut].view(np.uint64), b[:cut].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for at in (left, right) for x in (a, b)], _EDGE)
+            held, count = ([[x[cut:] for x in (key, side, a, b)]] if cut < len(key) else []), len(key) - cut
 
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
             count += batch.num_rows
             if count > TASK_ROWS:
                 yield from flush(False)
         yield from flush(True)
 
-    probes = prints.select("id", "h1", "h2").mapInArrow(probe, "key long, side byte, id long, h1 long, h2 long")
-    return probes.repartition(int(tasks), "key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").where("a <> b").distinct()
+    # distinct fingerprints stand for their documents, so that a row of the shuffle need not hold an id
+    probes = prints.select("h1", "h2").mapInArrow(probe, "key long, side byte, h1 long, h2 long")
+    found = probes.repartition(int(tasks), "key").sortWithinPartitions("key").mapInArrow(join, ", ".join(f"{c} long" for c in _EDGE)).distinct()
+    for side in ("a", "b"):
+        own = small_side(prints.select(F.col("id").alias(side), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2")), n)
+        found = found.join(own, [f"{side}1", f"{side}2"])
+    return found.select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, root): the smallest id of the connected component, for each id in the edges. Alternates large-star and
     small-star steps, which take a number of rounds logarithmic in a component's size."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
+    before, old = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -247,7 +265,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = written(small.distinct(), "edges")
+        old, edges = edges, written(small.distinct(), "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -269,6 +288,7 @@ def groups(docs: DataFrame) -> DataFrame:
     prints = written(same.select(F.col("first").alias("id"), "h1", "h2"), "distinct")
     copies = have.join(prints.withColumnRenamed("id", "first"), ["h1", "h2"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     root = components(near_edges(prints, prints.count()).unionByName(copies))
+    discard(signed, prints)
     members = root.unionByName(root.select(F.col("root").alias("id"), "root").distinct())
     return members.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
 
