@@ -1,5 +1,7 @@
 """Application search and corpus processing on PySpark DataFrames."""
 
+__version__ = "0.2.0"
+
 from .definition import IndexDefinition, define_index, define_index_from, logical_hash, physical_hash, table
 from .engine import Handle, SearchEngine
 from .errors import SearchError

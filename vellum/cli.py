@@ -1,4 +1,4 @@
-"""python -m vellum.cli check|doctor|backfill|rebuild|merge|drop --root DIR --definition FILE [--source TABLE.parquet] [--acknowledge | --dry-run]
+"""python -m vellum.cli version|init|generate|check|doctor|backfill|rebuild|merge|drop --root DIR --definition FILE [--source TABLE.parquet] [--acknowledge | --dry-run]
 
 A definition file holds the arguments of define_index as JSON. Commands that change an index need --acknowledge; --dry-run says what they would do.
 """
@@ -11,6 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .definition import IndexDefinition, define_index, table
 from .engine import SearchEngine
 from .errors import SearchError
@@ -29,12 +30,15 @@ def load(path: str) -> IndexDefinition:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="vellum", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("init", "generate", "check", "doctor", *_CHANGES))
+    parser.add_argument("command", choices=("version", "init", "generate", "check", "doctor", *_CHANGES))
     for name in ("root", "definition", "source"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--acknowledge", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
     got = parser.parse_args(args)
+    if got.command == "version":
+        print(__version__)
+        return 0
     if got.command == "init":
         print(json.dumps(TEMPLATE, indent=2))
         return 0

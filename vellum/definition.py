@@ -152,7 +152,7 @@ def logical_hash(d: IndexDefinition) -> str:
 def manifest(d: IndexDefinition) -> dict[str, object]:
     """What the stored tables depend on. Weights, synonyms and the strategy are applied when a query runs."""
     return {
-        "version": 1, "mode": d.mode, "source": asdict(d.source) if d.source else None, "searchable": list(d.searchable), "normalization": list(d.normalization),
+        "version": 2, "backend": "spark", "mode": d.mode, "source": asdict(d.source) if d.source else None, "searchable": list(d.searchable), "normalization": list(d.normalization),
         "projected": [[k, asdict(v)] for k, v in d.projected.items()], "typo": d.typo, "prefix": list(d.prefix),
     }
 
@@ -162,9 +162,11 @@ def physical_hash(d: IndexDefinition) -> str:
 
 
 def classify_change(old: dict[str, object], new: dict[str, object]) -> str:
-    """runtime-only, migration-only (typed columns were added), or rebuild-required."""
+    """runtime-only, migration-only (typed columns were added), rebuild-required, or unsupported (another backend made the tables)."""
     if canonical(old) == canonical(new):
         return "runtime-only"
+    if old.get("backend") != new.get("backend"):
+        return "unsupported"
     if canonical({k: v for k, v in old.items() if k != "projected"}) == canonical({k: v for k, v in new.items() if k != "projected"}):
         return "migration-only"
     return "rebuild-required"

@@ -28,9 +28,17 @@ FOLD_FROM, FOLD_TO = _folds()
 _TABLE = str.maketrans(FOLD_FROM[: len(FOLD_TO)], FOLD_TO, FOLD_FROM[len(FOLD_TO) :])
 
 
+def folded(text: Column) -> Column:
+    """What tokens are runs of: a text that lacks a token's characters lacks the token."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
+
+
 def tokens(text: Column) -> Column:
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
-    return F.regexp_extract_all(folded, F.lit(f"({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(folded(text), F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(folded(text), F.lit(TOKEN))
 
 
 def tokens_sql(text: str) -> str:

@@ -31,17 +31,20 @@ def gram_table(docs: DataFrame, searchable: list[str], profiles: tuple[str, ...]
     return docs.select("doc_id", F.explode(F.array_distinct(every)).alias("gram")).select("gram", "doc_id")
 
 
-def candidates(docs: DataFrame, allowed: Column, wanted: list[str], searchable: list[str], profiles: tuple[str, ...], most: int, stored: DataFrame | None = None) -> DataFrame:
-    """The first documents by doc_id that may be seen and share a gram with the query; stored is a table of grams."""
+def candidates(docs: DataFrame, allowed: Column | None, wanted: list[str], searchable: list[str], profiles: tuple[str, ...], most: int, stored: DataFrame | None = None) -> DataFrame:
+    """The first documents by doc_id that may be seen and share a gram with the query; stored is a table of grams, with which the documents are found first and
+    then read by their ids."""
     if stored is not None:
         some = stored.where(F.col("gram").isin(*{g.lower() for g in wanted})).select("doc_id").distinct()
-        return docs.where(allowed).join(some, "doc_id", "left_semi").orderBy("doc_id").limit(most)
+        if allowed is not None:
+            some = docs.where(allowed).select("doc_id").join(some, "doc_id", "left_semi")
+        return docs.where(F.col("doc_id").isin([r[0] for r in some.orderBy("doc_id").limit(most).collect()]))
     shared = F.lit(False)
     for f in searchable:
         text = F.lower(normalize_column(F.coalesce(F.col(f"{f}_source"), F.lit("")), profiles))
         for g in {g.lower() for g in wanted}:
             shared = shared | text.contains(g)
-    return docs.where(allowed).where(shared).orderBy("doc_id").limit(most)
+    return (docs if allowed is None else docs.where(allowed)).where(shared).orderBy("doc_id").limit(most)
 
 
 def survivors(found: DataFrame, terms: list[str], wanted: list[str], searchable: list[str], profiles: tuple[str, ...], policy: TypoPolicy = TypoPolicy()) -> DataFrame:

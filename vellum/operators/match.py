@@ -53,20 +53,39 @@ def _hits(tokens: Column, leaf: Leaf) -> Column:
     return F.regexp_count(joined, F.lit("(?= " + "  ".join(leaf.tokens) + ("" if leaf.prefix else " ") + ")"))
 
 
-def scan(docs: DataFrame, leaves: list[Leaf], weights: dict[str, float]) -> DataFrame:
+def scan(docs: DataFrame, leaves: list[Leaf], weights: dict[str, float], texts: dict[str, Column] | None = None) -> DataFrame:
+    """docs with the hits of each leaf. texts: folded texts, where tokens are not stored; only texts that contain a leaf's tokens as strings are analysed."""
     columns = {}
     for i, leaf in enumerate(leaves):
         fields = [leaf.field] if leaf.field else list(weights)
-        columns[f"_h{i}"] = reduce(operator.add, (_hits(F.col(f"{f}_tokens"), leaf) * F.lit(weights[f]) for f in fields))
+        hits = {f: _hits(F.col(f"{f}_tokens"), leaf) for f in fields}
+        if texts and leaf.tokens:
+            hits = {f: F.when(reduce(operator.and_, (texts[f].contains(t) for t in leaf.tokens)), h).otherwise(0) for f, h in hits.items()}
+        columns[f"_h{i}"] = reduce(operator.add, (h * F.lit(weights[f]) for f, h in hits.items()))
     return docs.withColumns(columns)
 
 
+def may_match(query: TextQuery, texts: dict[str, Column]) -> Column:
+    """False only for documents that cannot match: a test on strings, before any analysis."""
+    leaves = iter(leaves_of(query))
+
+    def build(node: TextQuery) -> Column:
+        if isinstance(node, Group):
+            return reduce(operator.and_ if node.op == "and" else operator.or_, [build(c) for c in node.children])
+        leaf = next(leaves)
+        if not leaf.tokens:
+            return F.lit(False)
+        return reduce(operator.or_, (reduce(operator.and_, (texts[f].contains(t) for t in leaf.tokens)) for f in ([leaf.field] if leaf.field else texts)))
+
+    return build(query)
+
+
 def _shifted(by: int) -> Column:
     return F.transform("positions", lambda p: p - by)
 
 
-def from_postings(docs: DataFrame, postings: DataFrame, leaves: list[Leaf], weights: dict[str, float]) -> DataFrame:
-    """The documents with a hit of any leaf."""
+def from_postings(postings: DataFrame, leaves: list[Leaf], weights: dict[str, float]) -> DataFrame | None:
+    """(doc_id, _h0, ...) of the documents with a hit of any leaf."""
     found = []
     for i, leaf in enumerate(leaves):
         if not leaf.tokens:
@@ -84,9 +103,7 @@ def from_postings(docs: DataFrame, postings: DataFrame, leaves: list[Leaf], weig
         weight = reduce(lambda c, f: c.when(F.col("field") == f, F.lit(weights[f])), weights, F)
         found.append(joined.select("doc_id", F.lit(i).alias("leaf"), (F.size(at) * weight).alias("hits")).where("hits > 0"))
     sums = [F.coalesce(F.sum(F.when(F.col("leaf") == i, F.col("hits"))), F.lit(0.0)).alias(f"_h{i}") for i in range(len(leaves))]
-    if not found:
-        return docs.withColumns({f"_h{i}": F.lit(0.0) for i in range(len(leaves))}).where(F.lit(False))
-    return docs.join(reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(*sums), "doc_id")
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(*sums) if found else None
 
 
 def postings_frame(docs: DataFrame, searchable: list[str]) -> DataFrame:
@@ -107,17 +124,26 @@ def condition(query: TextQuery, leaves: list[Leaf]) -> Column:
     return build(query)
 
 
+def counts_of(n: int) -> list[Column]:
+    """_n0, ...: the documents with a hit of each leaf."""
+    return [F.count(F.when(F.col(f"_h{i}") > 0, 1)).alias(f"_n{i}") for i in range(n)]
+
+
 def statistics(hits: DataFrame, n: int) -> DataFrame:
     """(_rows, _dl, _n0.._nk) over the whole index."""
-    return hits.agg(F.count("*").alias("_rows"), F.sum("dl").alias("_dl"), *(F.count(F.when(F.col(f"_h{i}") > 0, 1)).alias(f"_n{i}") for i in range(n)))
+    return hits.agg(F.count("*").alias("_rows"), F.sum("dl").alias("_dl"), *counts_of(n))
+
+
+def score(n: int, known: dict[str, int] | None = None) -> Column:
+    """BM25 of the leaves, higher for better matches; _rows, _dl and _n<i> are statistics of the whole index, as columns or as known numbers."""
 
+    def of(name: str) -> Column:
+        return F.lit(float(known[name])) if known else F.col(name)
 
-def score(n: int) -> Column:
-    """BM25 of the leaves, higher for better matches; _rows, _dl and _n<i> are statistics of the whole index."""
-    norm = K1 * (1 - B + B * F.col("dl") / (F.col("_dl") / F.col("_rows")))
+    norm = K1 * (1 - B + B * F.col("dl") / (of("_dl") / of("_rows")))
     total = F.lit(0.0)
     for i in range(n):
-        idf = F.log((F.col("_rows") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
+        idf = F.log((of("_rows") - of(f"_n{i}") + 0.5) / (of(f"_n{i}") + 0.5))
         f = F.col(f"_h{i}").cast("double")
         total = total + F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * (f * (K1 + 1) / (f + norm))
     return total

@@ -52,7 +52,7 @@ class Request:
     offset: int = 0
     facets: tuple[str, ...] = ()
     total: bool = False
-    hydrate: bool = False
+    hydrate: bool | Callable[[list], dict] = False  # or a function of the page's ids to their documents
     highlight: Highlight | None = None
     diagnostics: bool = False
     cancelled: Callable[[], bool] | None = field(default=None, compare=False)

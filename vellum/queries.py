@@ -42,7 +42,7 @@ def matches(ix: Index, text: str, where: Filter | None = None) -> DataFrame:
     """(id, score) of all matches."""
     d = ix.definition
     query = expand_synonyms(parse_index_query(text, d.normalization, d.strategy, Limits()), d.synonyms)
-    found = ranked(ix, query)[0]
+    found = ranked(ix, query)
     if where:
         check_filter(where, d.filterable)
         found = found.where(filter_column(where, d.filterable))
@@ -63,7 +63,7 @@ def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree with fields, which only an application can build."""
     ix = index(spark, sf_dir, PARTS)
     query = Group("or", (Term("ring", field="p_name"), Group("and", (Term("st", True, "p_type"), Term("red", field="p_name")))))
-    return ranked(ix, query)[0].select(F.col("source_id").alias("id"), F.round("score", 6).alias("score"))
+    return ranked(ix, query).select(F.col("source_id").alias("id"), F.round("score", 6).alias("score"))
 
 
 #: Columns with nulls, as the tables have none: brands of the smallest parts, and prices of the parts of one size.
@@ -160,7 +160,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ix = index(spark, sf_dir, DOCUMENTS)
     query = Term("idiot")
-    found = ranked(ix, query)[0]
+    found = ranked(ix, query)
     return found.select(F.col("source_id").alias("id"), snippet_column(F.col("text_source"), [(leaf.tokens, leaf.prefix) for leaf in leaves_of(query)], "**", "**", "…").alias("text"))
 
 
