@@ -162,9 +162,30 @@ def test_random_filters_stay_valid(spark):
             df.where(filter_column(node, FIELDS)).count()
 
 
+def test_same_snippets_as_fts5():
+    import random
+    import sqlite3
+
+    rng, con = random.Random(8), sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(t, tokenize='unicode61')")
+    words = "alpha beta gamma delta Café ring red-ring widget the. x. y: z; q".split() + ["fill"] * 30
+    texts = [rng.choice(["", "  ", "("]) + rng.choice([" ", " ", "\n"]).join(rng.choices(words, k=rng.choice([3, 10, 20, 40, 80]))) + rng.choice(["", ".", "! "]) for _ in range(300)]
+    con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(texts)))
+    queries = {
+        '"alpha"': [(("alpha",), False)], '"alpha" OR "cafe"': [(("alpha",), False), (("cafe",), False)], '"red ring"': [(("red", "ring"), False)], '"gam" *': [(("gam",), True)],
+        '"beta" OR "gamma" OR "widg" *': [(("beta",), False), (("gamma",), False), (("widg",), True)], '"ring" OR "red ring"': [(("ring",), False), (("red", "ring"), False)], '"fill fill"': [(("fill", "fill"), False)],
+    }
+    number = 0
+    for match, leaves in queries.items():
+        for k, want in con.execute("SELECT rowid, snippet(f, 0, '**', '**', '…', 16) FROM f WHERE f MATCH ?", (match,)):
+            assert snippet(texts[k], leaves, "**", "**", "…") == want
+            number += 1
+    assert number > 800
+
+
 def test_snippets():
     text = " ".join(f"w{k}" for k in range(40))
-    assert snippet(text, [(("w30",), False)], "[", "]", "…") == "…" + " ".join(f"w{k}" if k != 30 else "[w30]" for k in range(24, 40))
+    assert snippet(text, [(("w30",), False)], "[", "]", "…") == "…" + " ".join(f"w{k}" if k != 30 else "[w30]" for k in range(23, 39)) + "…"
     assert snippet("A Café day", [(("cafe",), False)], "**", "**", "…") == "A **Café** day"
     assert snippet("one two three", [(("two", "th"), True)], "<", ">", "…") == "one <two three>"
     assert snippet(text, [(("zzz",), False)], "[", "]", "…") == " ".join(f"w{k}" for k in range(16)) + "…"

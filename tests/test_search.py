@@ -215,6 +215,133 @@ def test_linked_and_migration(spark, tmp_path):
     assert wider.compact()["segments_after"] == 1 and wider.search("sqlite").ids() == [0, 5]
 
 
+def _notes(spark, tmp_path, **more):
+    engine = SearchEngine(spark, str(tmp_path / "indexes"))
+    handle = engine.index(define_index(**(dict(name="notes", mode="manual", searchable={"title": 1}, filterable={"n": "integer"}) | more)))
+    handle.create()
+    return handle
+
+
+def test_readers_beside_a_writer(spark, tmp_path):
+    """Searches never fail while documents are written, and see each batch whole; a response opened before a write can be read after it."""
+    import threading
+
+    handle = _notes(spark, tmp_path)
+    handle.upsert([{"id": f"k{k}", "title": "word zero", "n": 0} for k in range(3)])
+    early = handle.search("word")
+    failed, seen, stop = [], set(), threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                rows = handle.search("word", hydrate=True).rows()
+                seen.add(tuple(sorted({r["document"]["n"] for r in rows})) + (len(rows),))
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 5):
+        handle.upsert([{"id": f"k{j}", "title": "word more", "n": k} for j in range(3)])
+        if k == 1:
+            assert early.ids() == ["k0", "k1", "k2"]
+    stop.set()
+    reader.join()
+    assert not failed and all(len(x) == 2 and x[1] == 3 for x in seen)
+    assert handle.search("more", filter=eq("n", 4)).ids() == ["k0", "k1", "k2"] and handle.search("zero").ids() == [] and handle.check()
+
+
+def test_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    """At whatever step a write breaks off, the index opens as it was, and the next write is sound."""
+    handle = _notes(spark, tmp_path)
+    handle.upsert([{"id": "a", "title": "alpha"}])
+    store = type(handle.stored)
+    for step in ("_write", "_segment_findings", "_register"):
+        with monkeypatch.context() as m:
+            m.setattr(store, step, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                handle.upsert([{"id": "a", "title": "broken"}, {"id": "b", "title": "broken"}])
+        assert handle.search("alpha").ids() == ["a"] and handle.search("broken").ids() == [] and handle.check()
+    handle.upsert([{"id": "b", "title": "alpha beta"}])
+    assert sorted(handle.search("alpha").ids()) == ["a", "b"] and handle.check()
+    # of two writers that began at the same state one fails, and says so
+    old = handle.stored.registry()
+    handle.stored._register(old, "healthy")
+    with pytest.raises(SearchError) as e:
+        handle.stored._register(old, "healthy")
+    assert e.value.details["reason"] == "concurrent-write"
+
+
+def test_segments_merge(spark, tmp_path, monkeypatch):
+    from vellum.sources import store
+
+    monkeypatch.setattr(store, "MERGE_SEGMENTS", 3)
+    handle = _notes(spark, tmp_path, typo="fallback")
+    for k in range(3):
+        handle.upsert([{"id": "a", "title": f"version{k} alpha"}, {"id": f"x{k}", "title": "other alpha"}])
+        entry = handle.stored.registry()
+        assert len(entry["segments"]) == (1 if k == 2 else k + 2) and entry["next_id"] == k + 3
+        assert handle.search("version" + str(k)).ids()[0] == "a" and len(handle.search("alpha").ids()) == k + 2 and handle.doctor() == []
+    handle.delete(["a"])
+    assert handle.search("alphq").ids() == ["x0", "x1", "x2"]
+    assert handle.compact() == {"segments_before": 2, "segments_after": 1, "work_remaining": False} and handle.search("alpha").ids() == ["x0", "x1", "x2"]
+
+
+def test_damage_is_found(spark, tmp_path):
+    handle = _notes(spark, tmp_path)
+    handle.upsert([{"id": "a", "title": "alpha"}, {"id": "b", "title": "beta"}])
+    docs = handle.stored._at(handle.stored.registry()["segments"][-1]["at"], "docs")
+    spark.read.parquet(docs).withColumn("source_id", F.lit("a")).write.parquet(docs + "2")
+    handle.engine.store.delete(docs[len(handle.engine.store.root) + 1 :])
+    spark.read.parquet(docs + "2").write.parquet(docs)
+    assert [f["code"] for f in handle.doctor()] == ["duplicate-source-id"]
+
+
+def test_changes_of_a_linked_source(spark, tmp_path):
+    from vellum.streaming.sync import apply
+
+    engine = SearchEngine(spark, str(tmp_path / "indexes"))
+    handle = engine.index(define_index("goods", source=table("goods", "id", "safe-integer"), searchable={"name": 1}, filterable={"n": "integer"}))
+    handle.create(spark.createDataFrame([(1, "red ring", 1), (2, "blue ring", 2), (3, "green ring", 3), (4, "old ring", 4)], "id long, name string, n long"))
+    before = {r["source_id"]: r["doc_id"] for r in handle.stored._stored(handle.stored.registry()).collect()}
+    schema = "op string, id long, id_old long, name string, n long, seq long"
+    # a new key, two keys that change places, one that goes, and ties: the same change twice, and a removal at the same place
+    changes = [("upsert", 10, 1, "red ring", 1, 1), ("upsert", 3, 2, "blue ring", 2, 1), ("upsert", 2, 3, "green ring", 3, 1), ("delete", 4, None, None, None, 1), ("upsert", 7, None, "new ring", 7, 2), ("upsert", 7, None, "new ring", 7, 2), ("delete", 7, None, None, None, 2), ("delete", 99, None, None, None, 1)]
+    apply(handle, spark.createDataFrame(changes, schema), "seq")
+    after = {r["source_id"]: (r["doc_id"], r["name_source"]) for r in handle.stored._stored(handle.stored.registry()).collect()}
+    assert after == {10: (before[1], "red ring"), 3: (before[2], "blue ring"), 2: (before[3], "green ring"), 7: (5, "new ring")} and handle.check()
+    assert handle.search("blue").ids() == [3] and handle.search("old").ids() == []
+
+
+def test_hydrator_and_cancellation(products):
+    asked = []
+
+    def documents(ids):
+        asked.append(ids)
+        return {"a": {"title": "from elsewhere"}}
+
+    r = search(products, "sqlite", Request(hydrate=documents, limit=2))
+    assert [x["document"] for x in r.rows()] == [{"title": "from elsewhere"} if i == "a" else None for i in r.ids()] and asked == [r.ids()]
+    given_up = []
+    r = search(products, "sqlite", Request(total=True, facets=("brand",), cancelled=lambda: bool(given_up)))
+    given_up.append(1)
+    for job in (r.rows, lambda: r.total, lambda: r.facet("brand"), r.facet_stats):
+        with pytest.raises(SearchError) as e:
+            job()
+        assert e.value.details["reason"] == "aborted"
+
+
+def test_plan_of_a_stored_search(spark, tmp_path):
+    """Documents are read by their ids, without joins for the typo fallback; hits of texts are not read where nothing asks for them."""
+    handle = _notes(spark, tmp_path, typo="fallback")
+    handle.upsert([{"id": str(k), "title": "iphone" if k % 2 else "iphoen"} for k in range(6)])
+    r = handle.search("iphone")
+    exact, near = (x._jdf.queryExecution().executedPlan().toString() for x in (r.exact, r.near))
+    assert "doc_id IN" in exact.replace("doc_id#", "doc_id IN #") and "title_source" not in exact and "In(doc_id" in exact
+    assert near.count("Join") == near.count("LeftAnti") and "In(doc_id" in near  # only what later segments say is gone
+    assert r.ids() == ["1", "3", "5", "0", "2", "4"]
+
+
 def test_stream(spark, tmp_path):
     from vellum.streaming.sync import follow
 
@@ -247,7 +374,7 @@ def test_queries_have_sql():
     from vellum.oracles import oracle_sql
     from vellum.queries import queries
 
-    assert set(oracle_sql()) <= set(queries()) and set(queries()) - set(oracle_sql()) == {"fuzzy_page", "fuzzy_facets", "highlights"}
+    assert set(oracle_sql()) <= set(queries()) and set(queries()) - set(oracle_sql()) == {"highlights"}
 
 
 def test_plan_reads_few_columns(products):

@@ -61,6 +61,18 @@ def _normal(name: str) -> str:
 
 
 
+def _best(matches: str, limit: int, offset: int = 0) -> str:
+    """A page of matches by score. Scores of equal hits and lengths are equal in either engine; then the id decides."""
+    return f"SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score, false AS fuzzy FROM ({matches})) WHERE rank > {offset} AND rank <= {offset + limit + 1}"
+
+
+#: Of the first 200 parts that share a gram with `widgte`, those within one edit; no part holds the word itself.
+_NEAR = """SELECT p_partkey, p_brand, min(d) AS distance FROM (SELECT p_partkey, p_brand, damerau_levenshtein(w, 'widgte') AS d FROM
+           (SELECT p_partkey, p_brand, unnest(string_split(t, ' ')) AS w FROM (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS t FROM part
+            WHERE contains(lower(t), 'wid') OR contains(lower(t), 'idg') OR contains(lower(t), 'dgt') OR contains(lower(t), 'gte') ORDER BY p_partkey LIMIT 200))) WHERE d <= 1 GROUP BY ALL"""
+_NEAR_PAGE = f"SELECT row_number() OVER (ORDER BY distance, p_partkey) AS rank, p_partkey AS id, CAST(NULL AS DOUBLE) AS score, true AS fuzzy FROM ({_NEAR}) QUALIFY rank <= 101"
+
+
 def oracle_sql() -> dict[str, str]:
     null = ", CAST(NULL AS DOUBLE) AS score, false AS fuzzy"
     nulled = "(SELECT p_partkey, p_size, " + ", ".join(f"{e} AS {c}" for c, e in _NULLED.items()) + " FROM part)"
@@ -91,9 +103,17 @@ def oracle_sql() -> dict[str, str]:
         "trigrams": "SELECT DISTINCT p_partkey, substr(lower(p_name), k, 3) AS gram FROM part, unnest(generate_series(1, length(p_name) - 2)) AS g(k)",
         "fuzzy_distances": f"SELECT p_partkey AS id, CAST(min(damerau_levenshtein(w, 'widgte')) AS INTEGER) AS distance FROM (SELECT p_partkey, p_name || ' ' || p_type AS t, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part) WHERE damerau_levenshtein(w, 'widgte') <= 1 AND (contains(t, 'wid') OR contains(t, 'idg') OR contains(t, 'dgt') OR contains(t, 'gte')) GROUP BY p_partkey",
         "hydrate_source": "SELECT * FROM (SELECT row_number() OVER (ORDER BY p_size ASC NULLS FIRST, p_retailprice DESC NULLS LAST, p_partkey) AS rank, p_partkey AS id, p_name, p_brand, p_size, p_retailprice FROM part) WHERE rank <= 101",
-        "integrity_counts": "SELECT 'orphan-doc' AS code, count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL SELECT 'orphan-label', count(*) FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) UNION ALL SELECT 'documents', count(DISTINCT doc_id) FROM documents",
+        "integrity_counts": f"SELECT * FROM (SELECT 'orphan-postings' AS code, count(*) AS n FROM part WHERE p_size < 10 UNION ALL SELECT 'orphan-doc', count(*) FROM part WHERE p_size > 40) WHERE n > 0",
         "upsert_last_wins": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "delete_docs": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
         "projection_migration": "SELECT d.doc_id, lang, l.quality, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)",
+        "linked_changes": """SELECT row_number() OVER (ORDER BY c_custkey) AS doc_id, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey + 10000000 ELSE c_custkey END AS c_custkey,
+                          CASE WHEN c_mktsegment = 'MACHINERY' THEN 'renamed ' || c_name ELSE c_name END AS c_name, c_acctbal FROM customer QUALIFY c_acctbal >= 0""",
+        "search_stored_relevance": _best(bm25([("version",), ("license",), ("idiot",)], "h0 > 0 OR h1 > 0 OR h2 > 0"), 50, 10),
+        "search_stored_phrase": _best(bm25([("general public license",), ("version",)], "h0 > 0 AND h1 > 0 AND lang = 'en'"), 100),
+        "search_stored_prefix": _best(bm25([("mit",), ("licen", True)], "h0 > 0 AND h1 > 0"), 100),
+        "fuzzy_page": _NEAR_PAGE,
+        "fuzzy_stored": _NEAR_PAGE,
+        "fuzzy_facets": f"SELECT p_brand AS value, count(*) AS count FROM ({_NEAR}) GROUP BY p_brand",
         "vocabulary": f"SELECT token, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest(tok) AS token FROM {docs_tokens}) GROUP BY token",
     }

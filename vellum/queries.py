@@ -3,18 +3,20 @@ limit stands only where paging is what is shown."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .definition import define_index, table
+from .engine import Handle, SearchEngine
 from .functions.analyze import grams
 from .functions.normalize import PROFILES
 from .operators import fuzzy
 from .operators.match import postings_frame
-from .plans.filters import Filter, and_, between, check_filter, eq, filter_column, gt, gte, in_list, is_not_null, is_null, lt, lte, neq, not_, not_in, or_
+from .plans.filters import Filter, and_, between, bind_scope, check_filter, eq, filter_column, gt, gte, in_list, is_not_null, is_null, lt, lte, neq, not_, not_in, or_
 from .plans.query import Group, Term, expand_synonyms, parse_index_query
 from .plans.request import Request, asc, desc
 from .plans.search import Index, hydrate, index_frame, ranked, search
@@ -25,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 DOCUMENTS = dict(name="documents", source=table("documents", "doc_id", "safe-integer"), searchable={"text": 1}, filterable={"lang": "text", "source": "text", "n_chars": "integer"}, sortable={"n_chars": "integer"}, facets=["lang", "source", "n_chars"])
 PARTS = dict(name="parts", source=table("part", "p_partkey", "safe-integer"), searchable={"p_name": 5, "p_type": 1}, filterable={"p_brand": "text", "p_size": "integer", "p_retailprice": "number"}, sortable={"p_retailprice": "number", "p_size": "integer"}, facets=["p_brand", "p_size"], typo="fallback")
 ORDERS = dict(name="orders", source=table("orders", "o_orderkey", "safe-integer"), searchable={"o_orderpriority": 1}, filterable={"o_orderstatus": "text", "o_totalprice": "number"}, sortable={"o_totalprice": "number"}, facets=["o_orderstatus", "o_totalprice"])
+USERS = dict(name="users", mode="manual", source=table("events", "user_id", "safe-integer"), searchable=["event_type"], filterable={"event_id": "integer", "value": "number"})
+CUSTOMERS = dict(name="customers", source=table("customer", "c_custkey", "safe-integer"), searchable={"c_name": 1}, filterable={"c_acctbal": "number"})
 TALKS = dict(name="talks", source=table("talks", "id", "safe-integer"), searchable={"text": 1}, filterable={"role": "text", "turn": "integer"}, sortable={"turn": "integer"}, facets=["role"])
 
 
@@ -101,14 +105,48 @@ def _page(text: str, given: dict, request: Request, **change: object) -> Query:
     return run
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder for an index, under spark.checkpoint.dir, that goes with the application. Where that is unset and Spark is local, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="vellum-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    where = f"{where.rstrip('/')}/indexes-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return where
+
+
+def stored(spark: SparkSession, given: dict, **change: object) -> Handle:
+    return SearchEngine(spark, shared_dir(spark)).index(define_index(**(given | change)))
+
+
+def source_of(spark: SparkSession, sf_dir: str, given: dict) -> DataFrame:
+    return read(spark, sf_dir, given["source"].name)
+
+
+def _stored_page(text: str, given: dict, request: Request, **change: object) -> Query:
+    """A page from a stored index, by relevance."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        handle = stored(spark, given, **change)
+        handle.create(source_of(spark, sf_dir, given))
+        return handle.search(text, request).hits.select("rank", "id", F.round("score", 6).alias("score"), "fuzzy")
+
+    return run
+
+
 def browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index(spark, sf_dir, ORDERS), "", Request(limit=50, sort=(desc("o_totalprice"),))).hits.select("rank", "id", "score")
 
 
 def scope_and_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scope says `en`; the filter asks for more, and gets no more."""
-    ix = index(spark, sf_dir, DOCUMENTS)
-    found = ranked(ix, Term("idiot"))[0].where((F.col("lang") == "en") & filter_column(or_(eq("lang", "de"), gt("n_chars", 100)), ix.definition.filterable))
+    found = search(index(spark, sf_dir, DOCUMENTS), "idiot", Request(scope=bind_scope({"lang": "en"}), filter=or_(eq("lang", "de"), gt("n_chars", 100)))).matched
     return found.select(F.col("source_id").alias("id"), F.round("score", 6).alias("score"))
 
 
@@ -170,33 +208,76 @@ def hydrate_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels against documents: orphans on either side, and counts."""
-    docs, labels = (read(spark, sf_dir, n).select("doc_id").distinct() for n in ("documents", "labels"))
-    parts = [docs.join(labels, "doc_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("orphan-doc").alias("code"), "n"), labels.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("orphan-label").alias("code"), "n"), docs.agg(F.count("*").alias("n")).select(F.lit("documents").alias("code"), "n")]
-    return reduce(DataFrame.unionByName, parts)
+    """What the check finds in an index of which files were damaged: documents of small parts are lost, and the postings of large ones."""
+    handle = stored(spark, PARTS, typo="off")
+    handle.create(source_of(spark, sf_dir, PARTS))
+    for name, lost in (("docs", F.col("p_size") < 10), ("postings", F.col("doc_id").isin([]))):
+        path = handle.stored._at(handle.stored.registry()["segments"][0]["at"], name)
+        rows = spark.read.parquet(path)
+        if name == "postings":
+            large = read_back(spark, handle, "docs").where("p_size > 40").select("doc_id")
+            rows, lost = rows.join(large, "doc_id", "left_anti"), F.lit(False)
+        rows.where(~lost).write.parquet(f"{path}-damaged")
+        handle.engine.store.delete(f"{handle.stored.id}/s1/{name}")
+        handle.engine.store.move(f"{handle.stored.id}/s1/{name}-damaged", f"{handle.stored.id}/s1/{name}")
+    return spark.createDataFrame([(f["code"], f["n"]) for f in handle.doctor() if "n" in f], "code string, n long")
+
+
+def read_back(spark: SparkSession, handle: Handle, table: str) -> DataFrame:
+    """The live rows of a stored table."""
+    return handle.stored._read(handle.stored.registry(), table)
 
 
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as changes of their user's row: the last event of each user stays."""
+    """Events as changes of their user's document: the last event of each user stays. A first batch holds every user, so that the second changes known documents."""
     events = read(spark, sf_dir, "events")
-    last = events.withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("_n = 1")
-    return last.select("user_id", "event_id", "event_type", "value")
+    handle = stored(spark, USERS)
+    handle.create()
+    rows = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("_place"), F.col("user_id").alias("source_id"), F.col("event_type").alias("event_type_source"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
+    handle.upsert(rows.withColumns({"event_type_source": F.lit("unknown"), "value": F.lit(0.0)}))
+    handle.upsert(rows)
+    return read_back(spark, handle, "docs").select(F.col("source_id").alias("user_id"), "event_id", F.col("event_type_source").alias("event_type"), "value")
 
 
 def delete_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = read(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
-    return read(spark, sf_dir, "documents").join(gone, "doc_id", "left_anti").select("doc_id", "lang", "n_chars")
+    handle = stored(spark, DOCUMENTS, mode="manual")
+    handle.create()
+    docs = read(spark, sf_dir, "documents")
+    handle.upsert(docs.select(F.lit(0).cast("long").alias("_place"), F.col("doc_id").alias("source_id"), F.col("text").alias("text_source"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")))
+    handle.delete(read(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("source_id")))
+    return search(handle.stored.open(), "").matched.select(F.col("source_id").alias("doc_id"), "lang", "n_chars")
 
 
 def projection_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with typed columns filled in from another table."""
+    """An index of documents that gets typed columns filled in from another table."""
     fresh = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return read(spark, sf_dir, "documents").join(fresh, "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
+    docs = read(spark, sf_dir, "documents").join(fresh, "doc_id", "left")
+    handle = stored(spark, DOCUMENTS)
+    handle.create(docs)
+    wider = handle.engine.index(define_index(**(DOCUMENTS | {"filterable": DOCUMENTS["filterable"] | {"quality": "integer", "toxic": "integer"}})))
+    assert wider.migrate(docs) == "migration-only"
+    return search(wider.stored.open(), "").matched.select(F.col("source_id").alias("doc_id"), "lang", "quality", "toxic")
+
+
+def linked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a source: customers of one segment get a new key, those in debt go, and the others of a second segment get a new text. doc_ids stay."""
+    from .streaming.sync import apply
+
+    customers = read(spark, sf_dir, "customer")
+    handle = stored(spark, CUSTOMERS)
+    handle.create(customers)
+    moved = customers.where("c_mktsegment = 'BUILDING' AND c_acctbal >= 0").withColumns({"c_custkey_old": F.col("c_custkey"), "c_custkey": F.col("c_custkey") + 10_000_000, "op": F.lit("upsert")})
+    gone = customers.where("c_acctbal < 0").withColumn("op", F.lit("delete"))
+    renamed = customers.where("c_mktsegment = 'MACHINERY' AND c_acctbal >= 0").withColumns({"c_name": F.concat(F.lit("renamed "), "c_name"), "op": F.lit("upsert")})
+    apply(handle, moved.unionByName(gone, True).unionByName(renamed, True).withColumn("seq", F.lit(1)), "seq")
+    return read_back(spark, handle, "docs").select("doc_id", F.col("source_id").alias("c_custkey"), F.col("c_name_source").alias("c_name"), "c_acctbal")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with their documents and occurrences. A document brings each token once for each occurrence and once for itself, so both are sums with partial sums."""
     ix = index(spark, sf_dir, DOCUMENTS)
-    return ix.docs.select("doc_id", F.explode("text_tokens").alias("token")).groupBy("token").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("occurrences"))
+    both = F.concat(F.transform("text_tokens", lambda t: F.struct(t.alias("token"), F.lit(0).alias("own"))), F.transform(F.array_distinct("text_tokens"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("own"))))
+    return ix.docs.select(F.explode(both).alias("x")).groupBy("x.token").agg(F.sum("x.own").alias("documents"), F.sum(1 - F.col("x.own")).alias("occurrences"))
 
 
 def queries() -> dict[str, Query]:
@@ -234,4 +315,9 @@ def queries() -> dict[str, Query]:
         "delete_docs": delete_docs,
         "projection_migration": projection_migration,
         "vocabulary": vocabulary,
+        "linked_changes": linked_changes,
+        "search_stored_relevance": _stored_page("version license idiot", DOCUMENTS, Request(limit=50, offset=10), strategy="any"),
+        "search_stored_phrase": _stored_page('"general public license" version', DOCUMENTS, Request(limit=100, filter=eq("lang", "en"))),
+        "search_stored_prefix": _stored_page("mit licen", DOCUMENTS, Request(limit=100), strategy="last-prefix"),
+        "fuzzy_stored": _stored_page("widgte", PARTS, Request(limit=100)),
     }
