@@ -29,12 +29,17 @@ _TABLE = str.maketrans(FOLD_FROM[: len(FOLD_TO)], FOLD_TO, FOLD_FROM[len(FOLD_TO
 
 
 def folded(text: Column) -> Column:
-    """What tokens are runs of: a text that lacks a token's characters lacks the token."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
+    """What tokens are runs of: a text that lacks a token's characters lacks the token. Texts of one byte for each character have nothing to fold."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(f"({TOKEN})"), F.lit(1))
+    return tokens_in(folded(text))
+
+
+def tokens_in(folded_text: Column) -> Column:
+    return F.regexp_extract_all(folded_text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def n_tokens(text: Column) -> Column:

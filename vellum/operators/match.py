@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analyze import tokens_of
+from ..functions.analyze import tokens_in, tokens_of
 from ..plans.query import Group, Phrase, TextQuery
 
 K1, B = 1.2, 0.75
@@ -58,7 +58,8 @@ def scan(docs: DataFrame, leaves: list[Leaf], weights: dict[str, float], texts:
     columns = {}
     for i, leaf in enumerate(leaves):
         fields = [leaf.field] if leaf.field else list(weights)
-        hits = {f: _hits(F.col(f"{f}_tokens"), leaf) for f in fields}
+        # in the branch itself: a column of tokens would be filled for every document
+        hits = {f: _hits(tokens_in(texts[f]) if texts else F.col(f"{f}_tokens"), leaf) for f in fields}
         if texts and leaf.tokens:
             hits = {f: F.when(reduce(operator.and_, (texts[f].contains(t) for t in leaf.tokens)), h).otherwise(0) for f, h in hits.items()}
         columns[f"_h{i}"] = reduce(operator.add, (h * F.lit(weights[f]) for f, h in hits.items()))
