@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import buffer, runs, sliced, strings, text_of
+from ._arrow import buffer, place_of, runs, sliced, strings, text_of
 
 MIN_LENGTH = 16
 THRESHOLD = 0
@@ -136,10 +136,10 @@ def redacted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """The documents with MASK in place of each secret and n_chars (where there is such a column) to match."""
     first, step = model(samples)
     mask = np.frombuffer(MASK.encode(), np.uint8)
-    at = docs.columns.index("text")
+    at = place_of("text", docs)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, at):
             column = batch.column(at)
             raw, offsets = buffer(column)
             starts, ends, which, _ = scan(raw, offsets, first, step)
