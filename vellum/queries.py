@@ -256,7 +256,8 @@ def projection_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     handle.create(docs)
     wider = handle.engine.index(define_index(**(DOCUMENTS | {"filterable": DOCUMENTS["filterable"] | {"quality": "integer", "toxic": "integer"}})))
     assert wider.migrate(docs) == "migration-only"
-    return search(wider.stored.open(), "").matched.select(F.col("source_id").alias("doc_id"), "lang", "quality", "toxic")
+    found = search(wider.stored.open(), "").matched
+    return found.select(F.col("source_id").alias("doc_id"), "lang", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
 
 
 def linked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
