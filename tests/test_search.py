@@ -215,6 +215,44 @@ def test_linked_and_migration(spark, tmp_path):
     assert wider.compact()["segments_after"] == 1 and wider.search("sqlite").ids() == [0, 5]
 
 
+def test_stored_postings(spark, monkeypatch):
+    """Rows as of the grouped occurrences, from each partition of documents alone, whatever the slices are."""
+    from vellum.operators import match
+    from vellum.plans.search import analyzed
+
+    texts = ["", None, "b a b", "a", "Zoë zoe ZOE 漢字 b", "x " * 50, "c b a " * 7]
+    d = define_index("rows", source=table("rows", "id", "safe-integer"), searchable={"title": 5, "body": 1})
+    docs = analyzed(spark.createDataFrame([(k, texts[k % 7], texts[k * 3 % 5]) for k in range(40)], "doc_id long, title_source string, body_source string"), d)
+    want = sorted(map(tuple, postings_frame(docs, ["title", "body"]).collect()))
+    for size in (1, 60, 1_000_000):
+        monkeypatch.setattr(match, "SLICE_TOKENS", size)
+        found = match.stored_postings(docs, ["title", "body"])
+        assert sorted(map(tuple, found.collect())) == want and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_migration_writes_only_docs(spark, tmp_path):
+    """Of several segments, with documents that are gone; what is left of the old ones is found later too, and goes with a merge."""
+    base = dict(mode="manual", searchable={"title": 1}, typo="fallback")
+    handle = _notes(spark, tmp_path, **base)
+    handle.upsert([{"id": f"k{k}", "title": f"alpha word{k}", "n": k} for k in range(4)])
+    handle.upsert([{"id": "k1", "title": "beta"}, {"id": "k9", "title": "alpha"}])
+    handle.delete(["k2"])
+    wider = handle.engine.index(define_index(**(dict(name="notes", filterable={"n": "integer", "m": "integer"}) | base)))
+    source = spark.createDataFrame([(f"k{k}", 10 + k, 20 + k) for k in range(9)], "id string, n long, m long")
+    before = [s["at"] for s in handle.stored.registry()["segments"]]
+    assert wider.migrate(source) == "migration-only" and wider.doctor() == []
+    entry, store = wider.stored.registry(), wider.engine.store
+    assert [s["homes"]["postings"] for s in entry["segments"]] == before and not any(store.exists(f"{wider.stored.id}/s{s['at']}/{t}") for s in entry["segments"] for t in ("postings", "grams", "gone"))
+    assert wider.search("alpha", filter=eq("m", 23)).ids() == ["k3"] and wider.search("alpha").ids() == ["k9", "k0", "k3"] and sorted(wider.search("alphq").ids()) == ["k0", "k3", "k9"]
+    for k in range(3):  # what a reader of the state before may read goes; what the segments share stays
+        wider.upsert([{"id": f"new{k}", "title": "alpha", "m": k}])
+        assert len(wider.search("alpha").ids()) == 4 + k and wider.doctor() == []
+    assert not store.exists(f"{wider.stored.id}/s{before[1]}/docs") and store.exists(f"{wider.stored.id}/s{before[1]}/postings")
+    wider.compact()
+    wider.upsert([{"id": "new", "title": "alpha"}])
+    assert len(wider.search("alpha").ids()) == 7 and not store.exists(f"{wider.stored.id}/s{before[1]}") and wider.doctor() == []
+
+
 def _notes(spark, tmp_path, **more):
     engine = SearchEngine(spark, str(tmp_path / "indexes"))
     handle = engine.index(define_index(**(dict(name="notes", mode="manual", searchable={"title": 1}, filterable={"n": "integer"}) | more)))
