@@ -253,6 +253,33 @@ def test_migration_writes_only_docs(spark, tmp_path):
     assert len(wider.search("alpha").ids()) == 7 and not store.exists(f"{wider.stored.id}/s{before[1]}") and wider.doctor() == []
 
 
+def test_merges_analyse_nothing_again(spark, tmp_path, monkeypatch):
+    """A first batch is not written twice, a merge carries tokens over, and many documents that are gone are not broadcast."""
+    from vellum.sources import store
+
+    handle, analysed = _notes(spark, tmp_path), []
+    real = store.analyzed
+    monkeypatch.setattr(store, "analyzed", lambda docs, d: analysed.append(1) or real(docs, d))
+    handle.upsert(spark.range(300).select(F.lit(0).cast("long").alias("_place"), F.format_string("k%03d", "id").alias("source_id"), F.lit("alpha beta").alias("title_source"), F.col("id").alias("n")))
+    entry = handle.stored.registry()
+    assert len(analysed) == 1 and [(s["at"], s["held"]) for s in entry["segments"]] == [(2, 300)] and entry["next_id"] == 301
+    monkeypatch.setattr(store, "MERGE_ROWS", 5)
+    handle.delete([f"k{k:03d}" for k in range(10)])
+    assert len(analysed) == 2 and [s["held"] for s in handle.stored.registry()["segments"]] == [290]  # the second time for no documents
+    handle.upsert([{"id": f"k{k:03d}", "title": "gamma"} for k in range(8, 18)])
+    entry = handle.stored.registry()
+    assert [s["held"] for s in entry["segments"]] == [292] and entry["next_id"] == 303 and handle.doctor() == []
+    ids = {r["source_id"]: r["doc_id"] for r in read_docs(handle).where("title_source = 'gamma'").collect()}
+    assert ids == {"k008": 301, "k009": 302} | {f"k{k:03d}": k + 1 for k in range(10, 18)} and handle.search("gamma", total=True).total == 10
+    gone = entry | {"segments": [entry["segments"][0], entry["segments"][0] | {"gone": 6}, entry["segments"][0]]}
+    monkeypatch.setattr(type(handle.stored), "_table", lambda self, s, table: spark.createDataFrame([(1,)], "doc_id long"))
+    assert not handle.stored._read(gone, "docs")._jdf.queryExecution().analyzed().toString().count("ResolvedHint")
+
+
+def read_docs(handle):
+    return handle.stored._read(handle.stored.registry(), "docs")
+
+
 def _notes(spark, tmp_path, **more):
     engine = SearchEngine(spark, str(tmp_path / "indexes"))
     handle = engine.index(define_index(**(dict(name="notes", mode="manual", searchable={"title": 1}, filterable={"n": "integer"}) | more)))
