@@ -444,3 +444,13 @@ def test_queries_have_sql():
 
 def test_plan_reads_few_columns(products):
     assert F is not None and "CartesianProduct" not in search(products, "sqlite").hits._jdf.queryExecution().toString()
+
+
+def test_postings_are_read_once(both):
+    """Whatever the number of a query's tokens, one scan."""
+    from vellum.operators.match import from_postings, leaves_of
+
+    query = Group("or", (Phrase(("red", "ring", "red")), Term("wid", True), Term("café", field="title")))
+    found = from_postings(both[2].postings, leaves_of(query), both[2].definition.searchable)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 2  # one for each field
