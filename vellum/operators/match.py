@@ -120,7 +120,8 @@ def from_postings(postings: DataFrame, leaves: list[Leaf], weights: dict[str, fl
 
 def postings_frame(docs: DataFrame, searchable: list[str]) -> DataFrame:
     """(token, field, doc_id, positions) of indexed documents."""
-    parts = [docs.select("doc_id", F.lit(f).alias("field"), F.posexplode(f"{f}_tokens").alias("position", "token")) for f in searchable]
+    # outer, as for the inner one Spark would first test whether there are tokens, and so analyse each text twice
+    parts = [docs.select("doc_id", F.lit(f).alias("field"), F.posexplode_outer(f"{f}_tokens").alias("position", "token")).where("token is not null") for f in searchable]
     return reduce(DataFrame.unionByName, parts).groupBy("token", "field", "doc_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 

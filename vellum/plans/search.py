@@ -169,6 +169,9 @@ def ranked(index: Index, query: TextQuery) -> DataFrame:
     found = from_postings(index.postings, leaves, weights)
     if found is None:
         return index.docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    if index.size is None:
+        # postings that are made from texts as they are read: some numbers a hit are kept, or made again where an executor is lost
+        found = found.persist()
     rows, dl = index.size or tuple(index.docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
     some, docs = found.limit(BY_ID + 1).collect(), index.docs
     if len(some) <= BY_ID:
